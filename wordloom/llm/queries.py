@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, simhash
+from . import decontaminate, exact_dedup, mixing, quality, sharding, simhash
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents")).drop("content")
 
@@ -20,12 +24,35 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.sample_list(table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
-        "op5_simhash_near_dedup": op5_simhash_near_dedup,
-        "op7_quality_classifier": op7_quality_classifier,
+        f.__name__: f
+        for f in (
+            op2_extendible_sharding,
+            op5_simhash_near_dedup,
+            op6_mixing,
+            op7_quality_classifier,
+            op8_decontamination,
+            op10_exact_dedup,
+        )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_extendible_sharding": sharding.shard_sql(),
+        "op6_mixing": mixing.mix_sql(),
+        "op10_exact_dedup": exact_dedup.exact_sql(),
+    }
