@@ -1,8 +1,65 @@
-"""The corpus pipeline, stage by stage."""
+"""Corpus pipeline: quality, near copies, benchmark leaks, mixture, shards.
 
-STAGES = []
+Every stage is a function of (spark, docs, sf_dir).  Its result is written as
+Parquet in the shared folder and read again as the next stage's documents, so a
+lost executor costs at most one stage's tasks, never the lineage before it.
+All stages but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import os
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from wordloom.llm import decontaminate, mixing, quality, sharding, simhash
+from wordloom.llm.tables import shared_dir, table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go.  The classifier is fitted on the labelled rows among the stage's own documents."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays."""
+    return simhash.drop_near_copies(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak a benchmark item go."""
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are sampled and repeated towards equal weights."""
+    return mixing.mix(docs)
+
+
+def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every remaining row gets its shard."""
+    return sharding.assign(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("SimHash near-dedup", near_dedup_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("mixing to target weights", mixing_stage),
+    ("extendible sharding", sharding_stage),
+]
+
+#: The classifier, SimHash and seeded index are not expressible in SQL; tests/llm compares with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply all stages to ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    folder = os.path.join(shared_dir(spark), f"pipeline-{uuid.uuid4().hex}")
+    for number, (_, stage) in enumerate(STAGES):
+        path = f"{folder}/{number}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
