@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, mixing, quality, sharding, simhash
-from .tables import table
+from . import chat, decontaminate, exact_dedup, line_dedup, mixing, quality, sharding, simhash
+from .tables import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +18,15 @@ def op2_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = os.path.join(shared_dir(spark), f"lines-{uuid.uuid4().hex}")
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), path)
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents")).drop("content")
 
@@ -41,6 +52,8 @@ def queries() -> dict[str, Query]:
         f.__name__: f
         for f in (
             op2_extendible_sharding,
+            op3_line_dedup,
+            op4_chat_formatting,
             op5_simhash_near_dedup,
             op6_mixing,
             op7_quality_classifier,
@@ -53,6 +66,8 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_extendible_sharding": sharding.shard_sql(),
+        "op3_line_dedup": line_dedup.line_sql(),
+        "op4_chat_formatting": chat.chat_sql(),
         "op6_mixing": mixing.mix_sql(),
         "op10_exact_dedup": exact_dedup.exact_sql(),
     }
