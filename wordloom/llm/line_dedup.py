@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cuckoo import CuckooFilter
-from .tables import cut, fingerprint
+from .tables import cut, fingerprint, join_id
 
 REFS = "shard int, d1 long, d2 long, batch int, doc_id long, content long, place int, n int"
 FILTERS = "shard int, filter binary, full boolean"
@@ -50,7 +50,7 @@ class LineConfig:
 
 
 def _documents(documents: DataFrame) -> DataFrame:
-    return documents.select("doc_id", "text", fingerprint("text").alias("content"))
+    return documents.select("doc_id", "text", fingerprint("doc_id", "text").alias("content"), join_id(F.col("doc_id")).alias("id"))
 
 
 def _owner() -> Column:
@@ -136,8 +136,8 @@ class LineIndex:
         return refs.select(F.pmod("d2", F.lit(self.shards)).cast("int").alias("shard"), "d1", "d2", F.lit(self.batch + 1).alias("batch"), "doc_id", "content", "place", "n")
 
     def _without(self, rows: DataFrame, known: DataFrame, how: str) -> DataFrame:
-        known = known.select(F.col("doc_id").alias("_d"), F.col("content").alias("_c")).distinct()
-        return rows.join(known, rows["doc_id"].eqNullSafe(F.col("_d")) & (rows["content"] == F.col("_c")), how)
+        known = known.select(join_id(F.col("doc_id")).alias("id"), "content").distinct()
+        return rows.withColumn("id", join_id(F.col("doc_id"))).join(known, ["content", "id"], how).drop("id")
 
     def insert(self, documents: DataFrame) -> int:
         """Insert the documents that the index doesn't hold yet; returns the number of their batch."""
@@ -172,9 +172,8 @@ class LineIndex:
     def texts(self, documents: DataFrame) -> DataFrame:
         """doc_id, text without dropped lines, n_lines (not blank), n_dropped, for documents of the index."""
         rows = _documents(documents)
-        out = self.dropped().select(F.col("doc_id").alias("_d"), F.col("content").alias("_c"), "places")
-        joined = rows.join(out, rows["doc_id"].eqNullSafe(F.col("_d")) & (rows["content"] == F.col("_c")), "left")
-        joined = joined.dropDuplicates(["doc_id", "content"]).select("doc_id", "text", "places")
+        out = self.dropped().select(join_id(F.col("doc_id")).alias("id"), "content", "places")
+        joined = rows.join(out, ["content", "id"], "left").dropDuplicates(["content", "id"]).select("doc_id", "text", "places")
         return joined.mapInArrow(_strip, "doc_id long, text string, n_lines long, n_dropped long")
 
 

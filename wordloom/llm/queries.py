@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, exact_dedup, line_dedup, mixing, quality, sharding, simhash
+from . import chat, decontaminate, exact_dedup, line_dedup, mixing, quality, secret_scan, sharding, simhash
 from .tables import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ def queries() -> dict[str, Query]:
             op6_mixing,
             op7_quality_classifier,
             op8_decontamination,
+            op9_secret_scan,
             op10_exact_dedup,
         )
     }
@@ -69,5 +74,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_line_dedup": line_dedup.line_sql(),
         "op4_chat_formatting": chat.chat_sql(),
         "op6_mixing": mixing.mix_sql(),
+        "op9_secret_scan": secret_scan.secret_sql(),
         "op10_exact_dedup": exact_dedup.exact_sql(),
     }

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import components
-from .tables import cut, row_key, spare
+from .tables import cut, join_id, row_key, spare
 
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
@@ -245,8 +245,8 @@ def near_groups(documents: DataFrame, config: SimHashConfig = SimHashConfig()) -
 
 def drop_near_copies(documents: DataFrame, config: SimHashConfig = SimHashConfig()) -> DataFrame:
     """The documents without all but one of each near-duplicate group; other columns unchanged."""
-    own, kept_id, kept = (spare(documents, x) for x in ("content", "kept_id", "kept"))
-    keep = near_groups(documents, config).where("keep").select(F.col("doc_id").alias(kept_id), F.col("content").alias(kept))
-    rows = documents.withColumn(own, row_key(documents))
-    joined = rows.join(keep, (F.col(kept) == F.col(own)) & F.col(kept_id).eqNullSafe(rows["doc_id"]))
-    return joined.dropDuplicates([kept_id, kept]).drop(own, kept_id, kept)
+    own, own_id, kept, kept_id = (spare(documents, x) for x in ("own", "own_id", "kept", "kept_id"))
+    keep = near_groups(documents, config).where("keep").select(join_id(F.col("doc_id")).alias(kept_id), F.col("content").alias(kept))
+    rows = documents.withColumns({own: row_key(documents), own_id: join_id(F.col("doc_id"))})
+    joined = rows.join(keep, (F.col(kept) == F.col(own)) & (F.col(kept_id) == F.col(own_id)))
+    return joined.dropDuplicates([own, own_id]).drop(own, own_id, kept, kept_id)

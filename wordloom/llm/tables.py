@@ -48,6 +48,11 @@ def row_key(df: DataFrame) -> Column:
     return fingerprint(*[F.col(f"`{c}`") for c in df.columns])
 
 
+def join_id(doc_id: Column) -> Column:
+    """doc_id as a join key that is never null; content hashes tell null from the number that stands for it."""
+    return F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63)))
+
+
 def spare(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have yet."""
     taken = {c.lower() for c in df.columns}
