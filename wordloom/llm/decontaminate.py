@@ -109,7 +109,9 @@ class SeedIndex:
         none = np.zeros(0, np.int64)
         if not items:
             return none, none, none, none
-        shift = np.int64(max(len(self.ids), 1))
+        shift = np.int64(len(self.ids))
+        if not sum(map(len, places)):
+            return none, none, none, none
         both = np.unique((np.concatenate(places) + n) * shift + np.concatenate(items))
         found = [self._verify(tok, both[i : i + 20_000] // shift - n, both[i : i + 20_000] % shift) for i in range(0, len(both), 20_000)]
         row, item, same, of = (np.concatenate(x) for x in zip(*found, strict=True))
