@@ -8,12 +8,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, exact_dedup, line_dedup, mixing, quality, secret_scan, sharding, simhash
+from . import chat, decontaminate, exact_dedup, license_scan, line_dedup, mixing, quality, secret_scan, sharding, simhash
 from .tables import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op2_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ def queries() -> dict[str, Query]:
     return {
         f.__name__: f
         for f in (
+            op1_license_scan,
             op2_extendible_sharding,
             op3_line_dedup,
             op4_chat_formatting,
