@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import map_batches
 from . import kernels as K
 
 #: Positions that each seed compares; the gaps are ignored.
@@ -183,7 +184,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, config: LeakConfig = LeakC
                             ["doc_id", "item_id", "agreeing", "compared"],
                         )
 
-        part = rows.mapInArrow(run, schema)
+        part = map_batches(rows, run, schema)
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], schema) if out is None else out
 
@@ -201,5 +202,5 @@ def drop_leaks(documents: DataFrame, benchmark: DataFrame, config: LeakConfig =
                     clean[a + sent.value.find(K.tokenize(batch.column(at).slice(a, b - a)))[0]] = False
                 yield batch.filter(pa.array(clean))
 
-        documents = documents.mapInArrow(run, documents.schema)
+        documents = map_batches(documents, run, documents.schema)
     return documents

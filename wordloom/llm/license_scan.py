@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..runtime import map_batches
 from . import kernels as K
 from .license_templates import BACKGROUND, FUNCTION_WORDS, TEMPLATES
 
@@ -287,4 +288,4 @@ def scan_licenses(documents: DataFrame, config: LicenseConfig = LicenseConfig())
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "paragraph", "start", "length", "family", "probability", "similarity", "confirmed"])
 
     schema = "doc_id long, paragraph long, start long, length long, family string, probability double, similarity double, confirmed boolean"
-    return documents.select("doc_id", "text").mapInArrow(run, schema)
+    return map_batches(documents.select("doc_id", "text"), run, schema)

@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import map_batches, ship
 from .cuckoo import CuckooFilter
 from .tables import cut, fingerprint, join_id
 
@@ -94,6 +95,7 @@ class LineIndex:
     """A line index below ``path``; create with :meth:`create`."""
 
     def __init__(self, spark: SparkSession, path: str, shards: int, version: int = 0, batch: int = 0):
+        ship(spark)
         self.spark, self.path, self.shards, self.version, self.batch = spark, path, shards, version, batch
 
     @staticmethod
@@ -174,7 +176,7 @@ class LineIndex:
         rows = _documents(documents)
         out = self.dropped().select(join_id(F.col("doc_id")).alias("id"), "content", "places")
         joined = rows.join(out, ["content", "id"], "left").dropDuplicates(["content", "id"]).select("doc_id", "text", "places")
-        return joined.mapInArrow(_strip, "doc_id long, text string, n_lines long, n_dropped long")
+        return map_batches(joined, _strip, "doc_id long, text string, n_lines long, n_dropped long")
 
 
 def _blank(line: str) -> bool:

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..runtime import map_batches
 from . import kernels as K
 from .tables import spare
 
@@ -168,7 +169,7 @@ def fit(documents: DataFrame, labels: DataFrame, config: QualityConfig = Quality
         margin = train(t["text"].combine_chunks(), y, config)
         yield pa.RecordBatch.from_arrays([pa.array([margin.tobytes()], pa.binary())], ["margin"])
 
-    got = rows.repartition(1).mapInArrow(run, "margin binary").collect()
+    got = map_batches(rows.repartition(1), run, "margin binary").collect()
     if not got:
         return np.append(np.zeros(1 << config.bits, np.float32), np.float32(np.inf))
     return np.frombuffer(bytes(got[0]["margin"]), dtype=np.float32)
@@ -183,7 +184,7 @@ def _scored(df: DataFrame, margin: np.ndarray, config: QualityConfig, name: str)
             p = score(batch.column(columns.index("text")), model.value, config)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], [*columns, name])
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(name, DoubleType())]))
+    return map_batches(df, run, StructType([*df.schema.fields, StructField(name, DoubleType())]))
 
 
 def classify(documents: DataFrame, labels: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:

@@ -24,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from ..runtime import map_batches
 from . import kernels as K
 from .trigrams import ALL, codes, trigram_query
 
@@ -124,7 +125,7 @@ def scan_secrets(documents: DataFrame, rules: dict[str, str] = RULES) -> DataFra
                     ["doc_id", "rule", "occurrence", "start", "length", "digest"],
                 )
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, rule string, occurrence long, start long, length long, digest string")
+    return map_batches(documents.select("doc_id", "text"), run, "doc_id long, rule string, occurrence long, start long, length long, digest string")
 
 
 def secret_sql(documents: str = "documents", rules: dict[str, str] = RULES) -> str:

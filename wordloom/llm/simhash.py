@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import map_batches
 from . import kernels as K
 from .components import components
 from .tables import cut, join_id, row_key, spare
@@ -185,7 +186,7 @@ def _signed(documents: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signatures(batch.column(2))], ["doc_id", "content", "sig"])
 
-    return rows.mapInArrow(run, "doc_id long, content long, sig binary")
+    return map_batches(rows, run, "doc_id long, content long, sig binary")
 
 
 def near_edges(nodes: DataFrame, total: int, config: SimHashConfig) -> DataFrame:
@@ -217,8 +218,8 @@ def near_edges(nodes: DataFrame, total: int, config: SimHashConfig) -> DataFrame
         if len(held_keys):
             yield out(held_keys, held)
 
-    probes = nodes.select("sig").mapInArrow(probe, "key long, sig binary")
-    return probes.repartition("key").sortWithinPartitions("key", "sig").mapInArrow(verify, "a binary, b binary").distinct()
+    probes = map_batches(nodes.select("sig"), probe, "key long, sig binary")
+    return map_batches(probes.repartition("key").sortWithinPartitions("key", "sig"), verify, "a binary, b binary").distinct()
 
 
 def near_groups(documents: DataFrame, config: SimHashConfig = SimHashConfig()) -> DataFrame:
