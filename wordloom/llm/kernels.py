@@ -23,6 +23,7 @@ _PINV = pow(_P, -1, 1 << 64)
 _BLOCK = 1 << 18
 _LONG = 1 << 16
 SLICE_BYTES = 1 << 20
+SLICE_ROWS = 1 << 18
 
 _ALNUM = np.zeros(256, dtype=bool)
 for _c in b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ":
@@ -52,7 +53,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges ``[a, b)`` holding at most ``limit`` bytes of text each; a longer text is a range alone."""
+    """Row ranges ``[a, b)`` holding at most ``limit`` bytes of text and SLICE_ROWS rows each; a longer text is a range alone."""
     n = len(column)
     if n == 0:
         return
@@ -62,6 +63,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
     while a < n:
         base = end[a - 1] if a else 0
         b = max(a + 1, int(np.searchsorted(end, base + limit, side="right")))
+        b = min(b, a + SLICE_ROWS)
         yield a, b
         a = b
 

@@ -1,16 +1,22 @@
-"""Near-duplicate grouping: 128-bit SimHash and random bit sampling.
+"""Near-duplicate grouping: 256-bit SimHash and random bit sampling.
 
-A document's signature is the SimHash of its word bigrams (unigram for a single
-word).  Equal signatures are one node.  ``tables(n)`` hash tables each group the
+A document's signature is the SimHash of its different word bigrams (unigram for
+a single word).  Equal signatures are one node.  ``tables(n)`` hash tables each group the
 nodes by sampled signature bits; a bucket above ``bucket_cap`` is split on
 further sampled bits of its table, again and again, until every part fits.  All
 pairs of a part are then verified by their Hamming distance, and verified pairs
 are joined into groups by connected components.
 
-The number of sampled bits follows the number of nodes (about four strangers a
-bucket at any size), and the number of tables follows from it, so that a pair at
+The number of sampled bits follows the number of nodes (about ``strangers`` of
+them share a bucket at any size, as comparing is cheaper than shuffling more
+tables), and the number of tables follows from it, so that a pair at
 ``design_distance`` is found with probability ``design_recall`` at any size.
 
+Radius: unrelated texts of one language differ in 90 of 256 bits or more, and
+the chance to come within 56 falls by about half with every two bits, which is
+why the signature has 256 bits; edited copies that keep 60 % of their word
+3-grams lie within 56.
+
 Defined results: texts without a word (null, empty, punctuation) have no
 signature and are groups of their own.  A group is named by its smallest doc_id
 (null last); one row of each group is kept, the first by (doc_id, content hash).
@@ -34,33 +40,46 @@ from . import kernels as K
 from .components import components
 from .tables import cut, join_id, row_key, spare
 
+BITS = 256
+_WIDTH = BITS // 8
+_WORDS = (0, 0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x2545F4914F6CDD1D)
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 @dataclass(frozen=True)
 class SimHashConfig:
-    radius: int = 24
-    design_distance: int = 20
-    design_recall: float = 0.9
-    bucket_cap: int = 64
+    radius: int = 56
+    design_distance: int = 50
+    design_recall: float = 0.95
+    strangers: int = 512
+    bucket_cap: int = 2048
     seed: int = 5
 
     def sampled_bits(self, nodes: int) -> int:
-        return min(40, max(8, math.ceil(math.log2(max(2, nodes))) - 2))
+        return min(40, max(4, math.ceil(math.log2(max(2, nodes / self.strangers)))))
 
     def tables(self, nodes: int) -> int:
-        agree = (1 - self.design_distance / 128) ** self.sampled_bits(nodes)
+        agree = (1 - self.design_distance / BITS) ** self.sampled_bits(nodes)
         return math.ceil(math.log(1 - self.design_recall) / math.log(1 - agree))
 
     def coordinates(self, nodes: int) -> np.ndarray:
-        """For each table a permutation of the 128 bits: the first are its key, the others split its large buckets."""
+        """For each table a permutation of the bits: the first are its key, the others split its large buckets."""
         rng = np.random.default_rng(self.seed)
-        return np.stack([rng.permutation(128) for _ in range(self.tables(nodes))])
+        return np.stack([rng.permutation(BITS) for _ in range(self.tables(nodes))])
+
+
+def distinct(grams: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different n-grams of each row, so that a repeated phrase weighs no more than another."""
+    n, bits = len(offsets) - 1, np.uint64(K.SLICE_ROWS.bit_length())
+    row = np.repeat(np.arange(n, dtype=np.uint64), np.diff(offsets))
+    key = np.unique(row << (np.uint64(64) - bits) | grams >> bits)
+    ends = np.searchsorted(key >> (np.uint64(64) - bits), np.arange(n + 1, dtype=np.uint64), side="left")
+    return K.mix(key << bits), ends
 
 
 def signatures(column: pa.Array) -> pa.Array:
-    """16-byte SimHash of each text; null without a word."""
-    out = np.zeros((len(column), 16), dtype=np.uint8)
+    """SimHash of each text; null without a word."""
+    out = np.zeros((len(column), _WIDTH), dtype=np.uint8)
     empty = np.zeros(len(column), dtype=bool)
     for a, b in K.slices(column):
         tok = K.tokenize(column.slice(a, b - a))
@@ -71,14 +90,15 @@ def signatures(column: pa.Array) -> pa.Array:
             grams = np.insert(grams, offsets[single], tok.hash[tok.doc[single]])
             offsets = offsets + np.concatenate(([0], np.cumsum(words == 1)))
         empty[a:b] = words == 0
+        grams, offsets = distinct(grams, offsets)
         count = np.diff(offsets)
         parts = np.maximum((count + 254) // 255, 1)
         first = np.concatenate(([0], np.cumsum(parts)))
         start = np.repeat(offsets[:-1], parts) + 255 * (np.arange(first[-1]) - np.repeat(first[:-1], parts))
         some = np.flatnonzero(start < np.repeat(offsets[1:], parts))
-        bits = np.zeros((b - a, 128), dtype=bool)
-        for word in range(2):
-            h = K.mix(grams ^ np.uint64(0x5851F42D4C957F2D)) if word else grams
+        bits = np.zeros((b - a, BITS), dtype=bool)
+        for word, seed in enumerate(_WORDS):
+            h = K.mix(grams ^ np.uint64(seed)) if seed else grams
             lanes = h.view(np.uint8).reshape(-1, 8)
             for j in range(8):
                 partial = np.zeros(first[-1], dtype=np.uint64)
@@ -100,7 +120,7 @@ def fixed(values: np.ndarray, null: np.ndarray | None = None) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [valid, offsets, pa.py_buffer(np.ascontiguousarray(values).tobytes())])
 
 
-def unfixed(column: pa.Array, width: int = 16) -> np.ndarray:
+def unfixed(column: pa.Array, width: int = _WIDTH) -> np.ndarray:
     """The reverse of :func:`fixed` for columns without nulls."""
     n = len(column)
     if n == 0:
@@ -125,7 +145,7 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 
 def close_pairs(sig: np.ndarray, run: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of positions in the same run (sorted ids) whose 16-byte signatures differ in at most ``radius`` bits."""
+    """All pairs of positions in the same run (sorted ids) whose signatures differ in at most ``radius`` bits."""
     words = np.ascontiguousarray(sig).view(np.uint64)
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     last = np.searchsorted(run, run, side="right")
@@ -207,7 +227,7 @@ def near_edges(nodes: DataFrame, total: int, config: SimHashConfig) -> DataFrame
             a, b = edges_of(keys, sig, coordinates, k, config)
             return pa.RecordBatch.from_arrays([fixed(a), fixed(b)], ["a", "b"])
 
-        held_keys, held = np.zeros(0, np.int64), np.zeros((0, 16), np.uint8)
+        held_keys, held = np.zeros(0, np.int64), np.zeros((0, _WIDTH), np.uint8)
         for batch in batches:
             keys = np.concatenate((held_keys, np.asarray(batch.column(0))))
             sig = np.concatenate((held, unfixed(batch.column(1))))
