@@ -1,4 +1,4 @@
-"""What Python workers need: the package itself, wherever they run."""
+"""What a job needs wherever it runs: the package on every executor, and a folder that all of them share."""
 
 from __future__ import annotations
 
@@ -34,3 +34,24 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     """``mapInArrow`` with this package at hand on every executor."""
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: the cluster's ``spark.checkpoint.dir``; a new one only where that is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = known.get() if known.isDefined() else None
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="wordloom-")
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint to the shared folder, so that later steps survive lost executors without recomputing."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
