@@ -5,17 +5,41 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from .plans import oracles as O
+from .plans import queries as Q
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents per language."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").agg(F.count("*").alias("n"))
+flagship = Q.flagship
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in Q.ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "vocab": O.vocab(),
+        "vocab_lookup": O.vocab_lookup(),
+        "pretokenize": O.pretokenize(),
+        "word_functions": O.word_functions(),
+        "wordpiece_words": O.wordpiece_words(),
+        "encode_full": O.encode_full(),
+        "encode_memoised": O.encode_full(),
+        "encode_truncated_512": O.encode_truncated(512),
+        "encode_truncated_32": O.encode_truncated(32),
+        "encode_padded_128": O.encode_padded(Q.SIZE),
+        "chat_encode": O.chat_encode(),
+        "chunk_stride0": O.chunk_rows(Q.SIZE, 0),
+        "chunk_stride25": O.chunk_rows(Q.SIZE, Q.STRIDE),
+        "batches": O.batches(Q.SIZE, Q.BATCH),
+        "decode_full": O.decode_full(),
+        "tokens_by_lang": O.statistics("lang"),
+        "tokens_by_source": O.statistics("source"),
+        "unit_norm": O.unit_norm(),
+        "semantic_topk": O.semantic_topk(5),
+        "passages": O.passages(Q.SIZE),
+        "resume_pending": O.pending(Q.SIZE),
+        "upsert_chunks": O.upserted(Q.SIZE),
+        "stream_chunks": O.chunk_rows(Q.SIZE, Q.STRIDE),
+        "json_map_source": O.json_map(),
+    }
