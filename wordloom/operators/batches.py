@@ -50,10 +50,13 @@ def batch_rows(chunks: DataFrame, batch_size: int, tokens_per_input: int) -> Dat
     """batch_id, row_in_batch and the chunk's columns, in the order of (key, chunk).
 
     The rows that the last batch lacks have null columns and zeros for ids.
-    Only keys and chunk numbers are sorted; ids are joined to their places.
+    The chunks are written once to the shared folder, so they aren't tokenized
+    again; then only keys and chunk numbers are sorted, and ids are joined to
+    their places.
     """
     if batch_size < 1:
         raise ValueError("batch_size must be at least 1")
+    chunks = cut(chunks)
     places = number_rows(chunks.select("key", "chunk"), ["key", "chunk"])
     full = F.floor(F.col("row") / batch_size)
     placed = places.select("key", "chunk", full.alias("batch_id"), (F.col("row") % batch_size).cast("int").alias("row_in_batch"))

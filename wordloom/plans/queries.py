@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +11,7 @@ from ..functions import columns as C
 from ..operators import batches as B
 from ..operators import search as S
 from ..operators import words as W
+from ..runtime import spread
 from ..sources import corpus
 from ..streaming import streams
 from .fixture import model
@@ -20,7 +20,7 @@ SIZE, STRIDE, BATCH = 128, 25, 32
 
 
 def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", *columns)
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", *columns))
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:

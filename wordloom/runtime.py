@@ -55,3 +55,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Checkpoint to the shared folder, so that later steps survive lost executors without recomputing."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, where its files give fewer partitions than there are cores; a large table stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -7,10 +7,12 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import spread
+
 
 def parquet_texts(spark: SparkSession, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, text of a Parquet table; only those two columns are read."""
-    return spark.read.parquet(path).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return spread(spark.read.parquet(path).select(F.col(key).alias("key"), F.col(text).alias("text")))
 
 
 def json_map_texts(spark: SparkSession, path: str) -> DataFrame:
