@@ -7,14 +7,15 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import cut, shared_dir
+from ..runtime import cut, shared_dir, spread
 
 __all__ = ["cut", "fingerprint", "join_id", "row_key", "shared_dir", "spare", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the Parquet tables of ``sf_dir``."""
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """One of the Parquet tables of ``sf_dir``; documents are spread over all cores if they lie in few files."""
+    rows = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread(rows) if name == "documents" else rows
 
 
 def fingerprint(*columns: str | Column) -> Column:
