@@ -51,7 +51,7 @@ class ExactConfig:
 
 
 def _first() -> Column:
-    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))).alias("first")
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id")))
 
 
 def winners(documents: DataFrame, hot: DataFrame | None, config: ExactConfig) -> DataFrame:
@@ -64,10 +64,10 @@ def winners(documents: DataFrame, hot: DataFrame | None, config: ExactConfig) ->
         marks = F.broadcast(hot.select(F.col("digest").alias("_hot")))
         same = rows["digest"].eqNullSafe(F.col("_hot"))
         spread, cold = rows.join(marks, same, "left_semi"), rows.join(marks, same, "left_anti")
-    merged = spread.withColumn("salt", salt).groupBy("digest", "salt", "text").agg(_first())
+    merged = spread.withColumn("salt", salt).groupBy("digest", "salt", "text").agg(_first().alias("first"))
     found = merged.groupBy("digest", "text").agg(F.min("first").alias("first"))
     if cold is not None:
-        found = found.unionByName(cold.groupBy("digest", "text").agg(_first()))
+        found = found.unionByName(cold.groupBy("digest", "text").agg(_first().alias("first")))
     return found.select("digest", config.check(F.col("text")).alias("check"), "first")
 
 

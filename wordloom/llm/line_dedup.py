@@ -230,4 +230,5 @@ marked AS (
 SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE blank OR nth = 1), '') AS text,
   count(*) FILTER (WHERE NOT blank)::BIGINT AS n_lines, count(*) FILTER (WHERE NOT blank AND nth > 1)::BIGINT AS n_dropped
 FROM marked GROUP BY doc_id, marked.text
+UNION ALL SELECT doc_id, NULL, 0, 0 FROM docs WHERE text IS NULL
 """
