@@ -205,6 +205,41 @@ def test_leaks_tolerate_substitutions(spark):
     assert {(r.doc_id, r.item_id) for r in found} == {(i, i) for i, _ in items}
 
 
+def test_leaks_find_every_allowed_substitution():
+    rng, words = np.random.default_rng(5), [f"w{i}" for i in range(3000)]
+    config = decontaminate.LeakConfig()
+    for size, changed in [(5, 1), (5, 2), (6, 2), (8, 2), (8, 3), (9, 3), (10, 3), (10, 4), (15, 5), (15, 6), (18, 7), (20, 6), (20, 8), (30, 9), (30, 12), (59, 20)]:
+        items = [(i, " ".join(rng.choice(words, size))) for i in range(60)]
+        docs = []
+        for i, text in items:
+            part = text.split()
+            for at in rng.choice(size, changed, replace=False):
+                part[at] = f"other{at}"
+            docs.append((i, " ".join([*rng.choice(words, 40), *part, *rng.choice(words, 40)])))
+        row, item, _, _ = decontaminate.SeedIndex(items, config).find(K.tokenize(pa.array([t for _, t in docs])))
+        assert list(zip(row.tolist(), item.tolist())) == [(i, i) for i in range(60)], (size, changed)
+
+
+def test_seeds_hit_whatever_agrees():
+    for width in range(5, 15):
+        for overlap in (0.3, 0.6, 0.9):
+            need = int(np.ceil(overlap * width))
+            masks = [sum(1 << p for p in s) << k for s in decontaminate.seeds(width, need) for k in range(width - s[-1])]
+            agree = np.array([m for m in range(1 << width) if m.bit_count() == need])
+            assert np.any([(agree & m) == m for m in masks], axis=0).all(), (width, need)
+
+
+def test_leaks_in_bounded_parts(monkeypatch):
+    items = [(i, " ".join(["a", "b", "a", "a", "c"] * 4 + [f"x{i}"])) for i in range(5)]
+    docs = [(i, t + " a a a b a") for i, t in items] + [(99, "a " * 60)]
+    found = []
+    for limit in (1 << 21, 2000):
+        monkeypatch.setattr(decontaminate, "HITS", limit)
+        monkeypatch.setattr(decontaminate, "COMPARED", limit)
+        found.append([x.tolist() for x in decontaminate.SeedIndex(items, decontaminate.LeakConfig()).find(K.tokenize(pa.array([t for _, t in docs])))])
+    assert found[0] == found[1] and set(zip([docs[r][0] for r in found[0][0]], found[0][1])) == brute.leaks(docs, items)
+
+
 def test_classifier_on_held_out_labels(spark):
     sf = DATA.replace("0.001", "0.01")
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")

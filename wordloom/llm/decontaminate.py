@@ -1,7 +1,9 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Fixed masks sample token positions of a window and ignore the others, so a
-window still hits after substitutions at ignored positions.  All masked windows
+Masks sample token positions of a window and ignore the others, so a window
+still hits after substitutions at ignored positions.  They are chosen by item
+length so that wherever enough tokens agree for a leak, some mask hits: no
+pattern of substitutions that ``overlap`` allows is missed.  All masked windows
 of the benchmark items make a hash index; every window of every document is
 looked up in it.  Each hit names an alignment of an item with a document, which
 is verified token by token: an item is leaked where some window of
@@ -12,16 +14,19 @@ text.  A larger benchmark takes more parts, each of them one more pass over the
 documents, so memory stays bounded and nothing is left out.
 
 Defined results: items of fewer than ``min_item_tokens`` words are no evidence
-and are not searched; those below the longest seed are searched with the seeds
-that fit, or as exact runs.  Null or empty texts match nothing.  Repeated items
+and are not searched.  Null or empty texts match nothing.  Repeated items
 count once; repeated document rows repeat their matches.  Null ids are carried.
 Other columns are untouched, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import combinations
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -31,21 +36,37 @@ from pyspark.sql import functions as F
 from ..runtime import map_batches
 from . import kernels as K
 
-#: Positions that each seed compares; the gaps are ignored.
-SEEDS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 4, 5, 7), (0, 2, 3, 6, 8, 9), (0, 1, 4, 6, 9, 10))
+#: Most positions that a seed compares, and most seeds for one item length.
+WEIGHT, SEEDS = 6, 10
+#: Alignments, and item tokens compared at a time, that bound the memory of a search.
+HITS, COMPARED = 1 << 21, 1 << 21
 
 
 @dataclass(frozen=True)
 class LeakConfig:
-    seeds: tuple[tuple[int, ...], ...] = SEEDS
     min_item_tokens: int = 5
     window: int = 30
     overlap: float = 0.6
     part_bytes: int = 4 << 20
 
-    @property
-    def shortest_span(self) -> int:
-        return min(s[-1] for s in self.seeds) + 1
+    def seeds(self, size: int) -> tuple[tuple[int, ...], ...]:
+        width = min(size, self.window)
+        return seeds(width, max(1, ceil(self.overlap * width - 1e-9)))
+
+
+@lru_cache(maxsize=1024)
+def seeds(width: int, need: int) -> tuple[tuple[int, ...], ...]:
+    """The heaviest seeds of which one hits wherever at least ``need`` of ``width`` positions agree.
+
+    All choices of ``weight`` positions within ``span`` are such seeds if fewer than ``weight`` agreeing positions
+    in every block of ``span`` would add up to less than ``need``.
+    """
+    for weight in range(min(WEIGHT, need), 1, -1):
+        for span in range(weight, width + 1):
+            blocks, rest = divmod(width, span)
+            if comb(span - 1, weight - 1) <= SEEDS and blocks * (weight - 1) + min(rest, weight - 1) < need:
+                return tuple((0, *places) for places in combinations(range(1, span), weight - 1))
+    return ((0,),)
 
 
 def masked(tokens: np.ndarray, seed: tuple[int, ...]) -> np.ndarray:
@@ -73,11 +94,13 @@ class SeedIndex:
         self.ids = [i for i, _ in items]
         self.tokens, self.first, self.size = tok.hash, tok.doc[:-1], size
         owner = np.repeat(np.arange(len(items)), size)
-        seeds = [(s, np.ones(len(items), dtype=bool)) for s in config.seeds]
-        for n in sorted(set(size[used & (size < config.shortest_span)].tolist())):
-            seeds.append((tuple(range(n)), size == n))
+        sizes = defaultdict(list)
+        for n in sorted(set(size[used].tolist())):
+            for seed in config.seeds(n):
+                sizes[seed].append(n)
         self.tables = []
-        for seed, which in seeds:
+        for seed, of in sorted(sizes.items()):
+            which = np.isin(size, of)
             h = masked(tok.hash, seed)
             if len(h) == 0:
                 continue
@@ -94,27 +117,10 @@ class SeedIndex:
 
     def find(self, tok: K.Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(row, item, agreeing tokens, compared tokens): the best verified alignment of each pair."""
-        config, n = self.config, len(tok.hash)
-        items, places = [], []
-        for seed, keys, owner, at, bits, bitmap in self.tables:
-            h = masked(tok.hash, seed)
-            live = np.flatnonzero(bitmap[h >> np.uint64(64 - bits)])
-            if len(live) == 0:
-                continue
-            low = np.searchsorted(keys, h[live], side="left")
-            count = np.searchsorted(keys, h[live], side="right") - low
-            hit = np.repeat(live, count)
-            entry = np.repeat(low, count) + np.arange(len(hit)) - np.repeat(np.cumsum(count) - count, count)
-            items.append(owner[entry])
-            places.append(hit - at[entry])
-        none = np.zeros(0, np.int64)
-        if not items:
-            return none, none, none, none
-        shift = np.int64(len(self.ids))
-        if not sum(map(len, places)):
+        found = [x for both in self._alignments(tok) for x in self._verified(tok, both)]
+        if not found:
+            none = np.zeros(0, np.int64)
             return none, none, none, none
-        both = np.unique((np.concatenate(places) + n) * shift + np.concatenate(items))
-        found = [self._verify(tok, both[i : i + 20_000] // shift - n, both[i : i + 20_000] % shift) for i in range(0, len(both), 20_000)]
         row, item, same, of = (np.concatenate(x) for x in zip(*found, strict=True))
         by = np.lexsort((-same / np.maximum(of, 1), item, row))
         row, item, same, of = row[by], item[by], same[by], of[by]
@@ -122,6 +128,33 @@ class SeedIndex:
         new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1])
         return row[new], item[new], same[new], of[new]
 
+    def _alignments(self, tok: K.Tokens) -> Iterator[np.ndarray]:
+        """Distinct alignments that some seed hits, as (place + tokens) * items + item; some come again in a later array."""
+        n, shift = len(tok.hash), np.int64(len(self.ids))
+        held, total = [], 0
+        for seed, keys, owner, at, bits, bitmap in self.tables:
+            h = masked(tok.hash, seed)
+            live = np.flatnonzero(bitmap[h >> np.uint64(64 - bits)])
+            low = np.searchsorted(keys, h[live], side="left")
+            count = np.searchsorted(keys, h[live], side="right") - low
+            live, low, count = live[count > 0], low[count > 0], count[count > 0]
+            for i, j in _runs(count, HITS):
+                hit = np.repeat(live[i:j], count[i:j])
+                entry = np.repeat(low[i:j] - np.cumsum(count[i:j]) + count[i:j], count[i:j]) + np.arange(len(hit))
+                held.append((hit - at[entry] + n) * shift + owner[entry])
+                total += len(hit)
+                if total >= HITS:
+                    yield np.unique(np.concatenate(held))
+                    held, total = [], 0
+        if held:
+            yield np.unique(np.concatenate(held))
+
+    def _verified(self, tok: K.Tokens, both: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        shift = np.int64(len(self.ids))
+        place, item = both // shift - len(tok.hash), both % shift
+        for i, j in _runs(self.size[item], COMPARED):
+            yield self._verify(tok, place[i:j], item[i:j])
+
     def _verify(self, tok: K.Tokens, place: np.ndarray, item: np.ndarray):
         """Slide a window over each alignment; the row is the one that holds most of it, tried for every row it touches."""
         config = self.config
@@ -148,6 +181,15 @@ class SeedIndex:
         return row[good], item[good], best[good], width[good]
 
 
+def _runs(size: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges ``[i, j)`` of at most ``limit`` in sum; a larger one is a range alone."""
+    end, i = np.cumsum(size), 0
+    while i < len(size):
+        j = max(i + 1, int(np.searchsorted(end, (end[i - 1] if i else 0) + limit, side="right")))
+        yield i, j
+        i = j
+
+
 def _parts(benchmark: DataFrame, config: LeakConfig) -> Iterator[SeedIndex]:
     """Indexes over the whole benchmark, each from about ``part_bytes`` of text."""
     items = benchmark.where("text IS NOT NULL").select("item_id", "text").distinct()
