@@ -33,6 +33,13 @@ def test_added_tokens_are_found_inside_words(spark):
     assert all(r.segments.startswith(f"doc [CLS] {r.doc_id} [SEP] end") for r in rows)
 
 
+def test_whole_turns_are_encoded(spark):
+    from tests.conftest import DATA
+
+    whole, cut = ({(r.conv_id, r.turn): r.n_tokens for r in catalog.queries()[n](spark, DATA).collect()} for n in ("chat_encode_full", "chat_encode"))
+    assert whole.keys() == cut.keys() and max(whole.values()) > 64 and max(cut.values()) == 64
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

@@ -29,6 +29,7 @@ def oracle_sql() -> dict[str, str]:
         "encode_truncated_32": O.encode_truncated(32),
         "encode_padded_128": O.encode_padded(Q.SIZE),
         "chat_encode": O.chat_encode(),
+        "chat_encode_full": O.chat_encode_full(),
         "chunk_stride0": O.chunk_rows(Q.SIZE, 0),
         "chunk_stride25": O.chunk_rows(Q.SIZE, Q.STRIDE),
         "batches": O.batches(Q.SIZE, Q.BATCH),

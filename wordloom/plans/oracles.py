@@ -128,6 +128,12 @@ def chat_encode() -> str:
     return f"{_truncated(64, 'conversations', 'conv_id, turn')} SELECT conv_id, turn, len(ids)::BIGINT AS n_tokens, {_JOIN('ids')} AS ids FROM encoded"
 
 
+def chat_encode_full() -> str:
+    return f"""{_base('conversations', 'conv_id, turn')}, pieces AS (SELECT conv_id, turn, flatten(list(ids ORDER BY pos)) AS ids FROM segs JOIN word_ids ON word = lower(seg) GROUP BY conv_id, turn)
+SELECT d.conv_id, d.turn, (2 + len(coalesce(ids, [])))::BIGINT AS n_tokens, {_JOIN(f'[{CLS}] || coalesce(ids, []) || [{SEP}]')} AS ids
+FROM conversations d LEFT JOIN pieces p ON d.conv_id = p.conv_id AND d.turn = p.turn"""
+
+
 def chunked(size: int, stride: int) -> str:
     """chunks(doc_id, chunk, at, following, ids): the base tables and every chunk, by recursion over a document's chunks."""
     return f"""{_base()},

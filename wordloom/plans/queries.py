@@ -97,6 +97,12 @@ def chat_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counted(turns, ["conv_id", "turn"], C.token_ids("text", model(), 64))
 
 
+def chat_encode_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as a whole, in contrast to chat_encode."""
+    turns = spread(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text"))
+    return _counted(turns, ["conv_id", "turn"], C.token_ids("text", model(), None))
+
+
 def _chunk_columns(rows: DataFrame) -> DataFrame:
     ids = _joined(F.slice("input_ids", F.lit(1), F.col("n_tokens")))
     return rows.select(
@@ -198,7 +204,7 @@ def added_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ALL = (
     vocab, vocab_lookup, pretokenize, word_functions, wordpiece_words, encode_full, encode_memoised, encode_truncated_512,
-    encode_truncated_32, encode_padded_128, chat_encode, chunk_stride0, chunk_stride25, batches, packed_batches, decode_full,
+    encode_truncated_32, encode_padded_128, chat_encode, chat_encode_full, chunk_stride0, chunk_stride25, batches, packed_batches, decode_full,
     tokens_by_lang, tokens_by_source, unit_norm, semantic_topk, passages, resume_pending, upsert_chunks, stream_chunks,
     json_map_source, added_tokens,
 )
