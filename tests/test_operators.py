@@ -57,6 +57,19 @@ def test_search(spark):
     assert [(r.vec_id, r.score) for r in best] == [(1, 3.0), (3, 1.0)]
 
 
+def test_search_for_many_queries(spark):
+    v = spark.createDataFrame([(i, [float(i % 7), float(i % 3)]) for i in range(50)] + [(50, None), (51, [9.0])], "vec_id long, embedding array<float>")
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, -1.0]), (3, [0.0, 0.0]), (4, None)], "query_id long, query array<float>")
+    plain = {r.query_id: sorted((-sum(x * y for x, y in zip(r.query, w.embedding)), w.vec_id) for w in v.collect() if w.embedding and len(w.embedding) == 2)[:4] for r in q.collect() if r.query}
+    for block in (8192, 20, 2):
+        got = {}
+        for r in S.top_k_each(v, q, 4, block=block).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+        assert got == plain
+    with pytest.raises(Exception, match="one query"):
+        S.top_k(v, q.select("query"), 2).collect()
+
+
 def test_upsert_and_pending(spark):
     old = spark.createDataFrame([(1, None, 1), (2, 5, 1)], "key long, offset long, v long")
     new = spark.createDataFrame([(1, None, 2), (3, 0, 1), (3, 0, 4)], "key long, offset long, v long")

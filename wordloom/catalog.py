@@ -38,6 +38,7 @@ def oracle_sql() -> dict[str, str]:
         "tokens_by_source": O.statistics("source"),
         "unit_norm": O.unit_norm(),
         "semantic_topk": O.semantic_topk(5),
+        "semantic_topk_each": O.semantic_topk_each(5),
         "passages": O.passages(Q.SIZE),
         "resume_pending": O.pending(Q.SIZE),
         "upsert_chunks": O.upserted(Q.SIZE),

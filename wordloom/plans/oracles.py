@@ -206,6 +206,13 @@ def semantic_topk(k: int) -> str:
 ORDER BY score DESC, vec_id LIMIT {k}"""
 
 
+def semantic_topk_each(k: int) -> str:
+    product = "list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))"
+    return f"""SELECT query_id, rank, vec_id, round(score, 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
+    SELECT q.vec_id AS query_id, e.vec_id, {product} AS score FROM embeddings e, embeddings q)) WHERE rank <= {k}"""
+
+
 def passages(size: int) -> str:
     return f"""{chunked(size, 0)} SELECT c.doc_id, c.chunk, substr(d.text, c."offset" + 1, coalesce(c.next_offset, length(d.text)) - c."offset") AS passage
 FROM chunks c JOIN documents d USING (doc_id)"""

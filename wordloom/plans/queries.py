@@ -157,6 +157,13 @@ def semantic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.top_k(vectors, query, 5).select("vec_id", F.round("score", 6).alias("score"))
 
 
+def semantic_topk_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding as a query, in contrast to semantic_topk."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    queries = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return S.top_k_each(vectors, queries, 5).withColumn("score", F.round("score", 6))
+
+
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = _texts(spark, sf_dir)
     rows = S.passages(B.chunk_rows(texts, model(), SIZE), texts)
@@ -205,6 +212,6 @@ def added_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 ALL = (
     vocab, vocab_lookup, pretokenize, word_functions, wordpiece_words, encode_full, encode_memoised, encode_truncated_512,
     encode_truncated_32, encode_padded_128, chat_encode, chat_encode_full, chunk_stride0, chunk_stride25, batches, packed_batches, decode_full,
-    tokens_by_lang, tokens_by_source, unit_norm, semantic_topk, passages, resume_pending, upsert_chunks, stream_chunks,
+    tokens_by_lang, tokens_by_source, unit_norm, semantic_topk, semantic_topk_each, passages, resume_pending, upsert_chunks, stream_chunks,
     json_map_source, added_tokens,
 )
