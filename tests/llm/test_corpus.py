@@ -270,6 +270,17 @@ def test_licences_held_out_and_known_notices(spark):
     assert one_by_one == [r for r in whole if r[0] < 300]
 
 
+def test_adjacent_notices_of_different_families():
+    model = license_scan.train_model()
+    mit, nc, apache = "Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "Licensed under the Apache License, Version 2.0."
+    families = lambda text: [(r[1], r[4]) for r in model.scan(pa.array([text]))]
+    assert families(f"{mit}\n\n{nc}\n{apache}") == [(1, "mit"), (2, "cc-by-nc"), (3, "apache")]
+    assert families(f"Prose.\n{apache} {mit}\n{nc}\n{mit}\nMore prose.") == [(1, "apache"), (2, "mit"), (3, "cc-by-nc"), (4, "mit")]
+    assert families(f"{mit}\n \r\n{mit}\n{mit}") == [(1, "mit"), (2, "mit")]
+    text = f"{mit}\n\n{apache}"
+    assert [text[r[2] : r[2] + r[3]] + "." for r in model.scan(pa.array([text]))] == [mit, apache]
+
+
 def test_water_filling_by_hand(spark):
     sizes = spark.createDataFrame([("a", 100, 1.0), ("b", 1000, 1.0), ("c", 10, 2.0), ("d", 50, None), (None, 0, 1.0)], "source string, bytes long, weight double")
     got = {r.source: round(r.epochs, 6) for r in mixing.water_fill(sizes, mixing.MixConfig(max_epochs=4)).collect()}

@@ -3,7 +3,9 @@
 Texts are cut into units at line ends, at sentence ends and after every
 ``unit_tokens`` words; nothing is left out.  A binary logistic regression over
 sparse word unigrams and bigrams finds the units that speak of a licence;
-adjacent ones form a paragraph.  A softmax regression over word 1- to 3-grams
+adjacent ones form a paragraph, which ends at a blank line and before a unit
+that by itself is confirmed as another family and is more like it than like the
+paragraph's.  A softmax regression over word 1- to 3-grams
 names the paragraph's licence family.  Both are trained in numpy by stochastic
 gradient descent on seeded variants of the templates and of background
 sentences.  Probabilities are calibrated on held-out variants by a temperature,
@@ -22,6 +24,7 @@ repeat their paragraphs; a null doc_id is carried; other columns are not read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -35,6 +38,7 @@ from . import kernels as K
 from .license_templates import BACKGROUND, FUNCTION_WORDS, TEMPLATES
 
 UNKNOWN = "unknown"
+_BLANK = re.compile(rb"\n[ \t\r]*\n")
 
 
 @dataclass(frozen=True)
@@ -226,21 +230,40 @@ class LicenseModel:
         self.threshold = float(np.clip(best[order[good[-1]]] if len(good) else 1.0, 0.2, 0.95))
 
     def families(self, tok: K.Tokens, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(class, its probability, probability of no licence, similarity) of the token ranges."""
+        """(class, its probability, probability of no licence, similarity by class) of the token ranges."""
         at = np.concatenate([np.arange(a, b) for a, b in zip(first, last, strict=True)])
         offsets = np.concatenate(([0], np.cumsum(last - first)))
         own = K.Tokens(tok.hash[at], tok.start[at], tok.end[at], offsets, tok.data, tok.offsets)
         p = _softmax(_linear(_grams(own, offsets, (1, 2, 3)), self.words, self.weights, self.bias), self.temperature)
         best = p[:, 1:].argmax(axis=1) + 1
         pairs, of = K.ngrams(own, 2)
-        alike = np.zeros(len(first))
+        alike = np.zeros((len(first), len(self.names)))
         for i in range(len(first)):
             mine = np.unique(pairs[of[i] : of[i + 1]])
             for k, template in self.templates:
-                if k == best[i] and len(mine) > 1:
-                    alike[i] = max(alike[i], len(np.intersect1d(mine, template, assume_unique=True)) / min(len(mine), len(template)))
+                if len(mine) > 1:
+                    alike[i, k] = max(alike[i, k], len(np.intersect1d(mine, template, assume_unique=True)) / min(len(mine), len(template)))
         return best, p[np.arange(len(p)), best], p[:, 0], alike
 
+    def breaks(self, tok: K.Tokens, units: np.ndarray, hot: np.ndarray, new: np.ndarray) -> np.ndarray:
+        """``new`` with the paragraphs that begin within a run of adjacent hot units."""
+        new = new.copy()
+        inner = np.flatnonzero(~new)
+        for i in inner.tolist():
+            new[i] = bool(_BLANK.search(tok.data[tok.end[units[hot[i]] - 1] : tok.start[units[hot[i]]]].tobytes()))
+        runs = np.flatnonzero(~new | np.append(~new[1:], False))
+        if len(runs) == 0:
+            return new
+        best, p, none, alike = self.families(tok, units[hot[runs]], units[hot[runs] + 1])
+        held = 0
+        for i, k, chance, other, similar in zip(runs.tolist(), best.tolist(), p, none, alike, strict=True):
+            held = 0 if new[i] else held
+            if other < 0.5 and chance >= self.threshold and similar[k] >= self.config.overlap:
+                if held and k != held and similar[k] > similar[held]:
+                    new[i], held = True, 0
+                held = held or k
+        return new
+
     def scan(self, column: pa.Array) -> list[tuple]:
         """(row, paragraph, start, length, family, probability, similarity, confirmed) of every licence paragraph."""
         out = []
@@ -254,10 +277,12 @@ class LicenseModel:
             row = np.searchsorted(tok.doc, units[hot], side="right") - 1
             new = np.ones(len(hot), dtype=bool)
             new[1:] = (hot[1:] != hot[:-1] + 1) | (row[1:] != row[:-1])
+            new = self.breaks(tok, units, hot, new)
             begin = np.flatnonzero(new)
             finish = np.append(begin[1:], len(hot)) - 1
             first, last, row = units[hot[begin]], units[hot[finish] + 1], row[begin]
             best, p, none, alike = self.families(tok, first, last)
+            alike = alike[np.arange(len(best)), best]
             held, nth = -1, 0
             for i in np.flatnonzero(none < 0.5).tolist():
                 nth = nth + 1 if row[i] == held else 1
