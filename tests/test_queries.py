@@ -33,6 +33,12 @@ def test_added_tokens_are_found_inside_words(spark):
     assert all(r.segments.startswith(f"doc [CLS] {r.doc_id} [SEP] end") for r in rows)
 
 
+def test_every_id_is_looked_up(spark):
+    rows = {r.id: r.token for r in catalog.queries()["vocab_lookup_all"](spark, "").collect()}
+    ids = {r.id for r in catalog.queries()["vocab"](spark, "").collect()}
+    assert ids == {i for i, t in rows.items() if t is not None} and rows[-1] is None and rows[max(ids) + 1] is None
+
+
 def test_whole_turns_are_encoded(spark):
     from tests.conftest import DATA
 

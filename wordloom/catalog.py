@@ -20,6 +20,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "vocab": O.vocab(),
         "vocab_lookup": O.vocab_lookup(),
+        "vocab_lookup_all": O.vocab_lookup_all(),
         "pretokenize": O.pretokenize(),
         "word_functions": O.word_functions(),
         "wordpiece_words": O.wordpiece_words(),

@@ -78,6 +78,11 @@ def vocab_lookup() -> str:
     return f"{_with()} SELECT id, CASE WHEN is_suffix THEN '##' ELSE '' END || token AS token FROM vocab WHERE id BETWEEN 20 AND 59"
 
 
+def vocab_lookup_all() -> str:
+    return f"""{_with()} SELECT i.id, CASE WHEN is_suffix THEN '##' ELSE '' END || token AS token
+FROM (SELECT unnest(generate_series(-1, (SELECT max(id) FROM vocab) + 1))::BIGINT AS id) i LEFT JOIN vocab v ON i.id = v.id"""
+
+
 def pretokenize() -> str:
     return f"WITH {segments()} SELECT doc_id, count(*) AS n, string_agg(lower(seg), ' ' ORDER BY pos) AS segments, string_agg(start::VARCHAR, ' ' ORDER BY pos) AS starts FROM segs GROUP BY doc_id"
 

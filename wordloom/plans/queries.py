@@ -52,6 +52,14 @@ def vocab_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model().vocab(spark).where("id BETWEEN 20 AND 59").select("id", token.alias("token"))
 
 
+def vocab_lookup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every id of the vocabulary and the ids beside it, which have no token."""
+    token = F.concat(F.when(F.col("is_suffix"), "##").otherwise(""), "token")
+    known = model().vocab(spark).select("id", token.alias("token"))
+    ids = known.agg(F.explode(F.sequence(F.lit(-1).cast("long"), F.max("id").cast("long") + 1)).alias("id"))
+    return ids.join(known, "id", "left")
+
+
 def pretokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _documents(spark, sf_dir).select("doc_id", C.segments("text", model()).alias("s")).where(F.size("s") > 0)
     starts = F.transform("s.start", lambda x: x.cast("string"))
@@ -210,7 +218,7 @@ def added_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ALL = (
-    vocab, vocab_lookup, pretokenize, word_functions, wordpiece_words, encode_full, encode_memoised, encode_truncated_512,
+    vocab, vocab_lookup, vocab_lookup_all, pretokenize, word_functions, wordpiece_words, encode_full, encode_memoised, encode_truncated_512,
     encode_truncated_32, encode_padded_128, chat_encode, chat_encode_full, chunk_stride0, chunk_stride25, batches, packed_batches, decode_full,
     tokens_by_lang, tokens_by_source, unit_norm, semantic_topk, semantic_topk_each, passages, resume_pending, upsert_chunks, stream_chunks,
     json_map_source, added_tokens,
