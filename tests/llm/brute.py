@@ -30,6 +30,35 @@ def signature(text, words):
     return out
 
 
+def quality(text, vectors, output, bias, config):
+    """Probability of good: the mean of the vectors of all features of a text, one by one, and a softmax; 0 without a feature."""
+    mask, top = (1 << 64) - 1, 64 - config.bits
+
+    def mixed(h):
+        return int(K.mix(np.array([h & mask], np.uint64))[0])
+
+    def hashed(word):
+        return mixed(sum((b + 1) * pow(K._P, k, 1 << 64) for k, b in enumerate(word)) + len(word))
+
+    words = (text or "").encode().split()
+    rows = [hashed(w) for w in words]
+    ids = [h >> top for h in rows]
+    ids += [mixed((a * 0xD6E8FEB86659FD93 + b) ^ 0xA24BAED4963EE407) >> top for a, b in zip(rows, rows[1:])]
+    blanks = bytes(32 if b in b" \t\n\r\x0b\x0c" else b for b in (text or "").encode())
+    for n in config.char_grams:
+        for at in range(len(blanks) - n + 1):
+            if b" " not in blanks[at + 1 : at + n - 1]:
+                code = n
+                for b in blanks[at : at + n]:
+                    code = code * 0x01000193 % (1 << 32) ^ b
+                ids.append(code * 0x9E3779B1 % (1 << 32) >> 32 - config.bits)
+    if not ids:
+        return 0.0
+    mean = sum(vectors[i].astype(float) for i in ids) / len(ids)
+    e = np.exp(mean @ output.astype(float) + bias)
+    return float(e[1] / e.sum())
+
+
 def components(n, pairs):
     root = list(range(n))
 

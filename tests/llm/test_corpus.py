@@ -251,6 +251,41 @@ def test_classifier_on_held_out_labels(spark):
     assert len(rest) > 200 and np.mean([bool(q) == k for q, k in rest]) > 0.95
 
 
+def test_classifier_against_plain_mean_and_softmax(spark):
+    docs, labels = (table(spark, DATA, n) for n in ("documents", "labels"))
+    config = quality.QualityConfig(max_train_docs=20, epochs=3)
+    rows = sorted(quality.training_rows(docs, labels, config).collect(), key=lambda r: (r.pick, r.doc_id, r.text))
+    model = quality.train(pa.array([r.text for r in rows]), np.array([r.label for r in rows]), config)
+    texts = [r.text for r in docs.collect()] + ["", None, " \n", "a", "a a", "b a a", "Ünïcode 漢字\ttail"]
+    got = quality.score(pa.array(texts), quality.collapsed(*model), config)
+    want = [brute.quality(t, *model, config) for t in texts]
+    assert np.abs(got - want).max() < 1e-4 and len({g > 0.5 for g in got}) == 2
+
+
+def test_classifier_ignores_labels_of_other_documents(spark):
+    docs, labels = (table(spark, DATA, n) for n in ("documents", "labels"))
+    config = quality.QualityConfig()
+    other = spark.range(10**6, 10**6 + 200_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    mixed = labels.select("doc_id", "quality").unionByName(other)
+    key = lambda df: sorted((r.doc_id, r.quality, r.keep) for r in df.collect())
+    alone = key(quality.classify(docs, labels, config))
+    assert key(quality.classify(docs, mixed, config)) == alone and {k for _, _, k in alone} == {True, False}
+
+
+def test_training_rows_are_bounded_whatever_repeats(spark):
+    docs = spark.range(3000).select((F.col("id") % 2).alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 600).cast("string")).alias("text"))
+    labels = spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, quality int")
+    rows = quality.training_rows(docs, labels, quality.QualityConfig(max_train_docs=100)).collect()
+    assert sorted(r.label for r in rows) == [0] * 100 + [1] * 100 and len({(r.doc_id, r.text) for r in rows}) == 200
+
+
+def test_without_both_classes_nothing_is_judged(spark):
+    docs = spark.createDataFrame([("x", "some text"), ("y", None)], "doc_id string, text string")
+    with pytest.warns(UserWarning, match="no model"):
+        rows = quality.classify(docs, spark.createDataFrame([("x", 1), ("z", 0)], "doc_id string, quality int")).collect()
+    assert {(r.doc_id, r.quality, r.keep) for r in rows} == {("x", None, True), ("y", 0.0, False)}
+
+
 def test_licences_held_out_and_known_notices(spark):
     model = license_scan.train_model()
     texts, labels, names = license_scan.examples(model.config, 99)
