@@ -2,17 +2,16 @@
 
 Texts are compared in three stages, each over their full content:
 
-1. every task combines its own rows of equal (digest, salt, text) — Spark's
-   map-side aggregation, before anything is shuffled;
-2. the salted groups are merged by (digest, salt, text).  Only digests with at
-   least ``hot_rows`` rows have more than one salt, so one copied text never
-   lands in a single task, and all other texts are final here;
-3. the salt winners of hot digests, at most ``salts`` a text, are merged by
-   (digest, text).
-
-The text travels once.  Documents find their winner by digest and a second hash,
-ids only; where two contents share both (which a count of winners shows), those
-documents are grouped by the text itself.
+1. every task combines its own rows of equal (digest, text) — Spark's map-side
+   aggregation, before anything is shuffled;
+2. the tasks' winners are merged by (digest, salt, text); the salt is the
+   number of the task modulo ``salts``, so the winners of one copied text meet
+   in ``salts`` places and not in one;
+3. the salt winners, at most ``salts`` a text, are merged by (digest, text).
+
+Every digest is salted, whatever the number of its copies.  Documents find their
+winner by digest and a second hash, ids only; where two contents share both
+(which a count of winners shows), those documents are grouped by the text itself.
 
 Defined results: null texts equal each other and differ from the empty text.
 The first of equal texts by doc_id (null last) is kept and names the group.
@@ -25,7 +24,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tables import cut, fingerprint
@@ -41,33 +40,16 @@ def content_check(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class ExactConfig:
-    """``hot_digests``: so many hot digests are broadcast at most; if there are more, every digest is salted."""
-
-    hot_rows: int = 1000
     salts: int = 32
-    hot_digests: int = 200_000
     digest: Callable[[Column], Column] = content_digest
     check: Callable[[Column], Column] = content_check
 
 
-def _first() -> Column:
-    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id")))
-
-
-def winners(documents: DataFrame, hot: DataFrame | None, config: ExactConfig) -> DataFrame:
-    """(digest, check, first): one row for each distinct content; ``hot`` has the digests to salt, None for all."""
-    rows = documents.select("doc_id", "text", config.digest(F.col("text")).alias("digest"))
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(config.salts)).cast("int")
-    if hot is None:
-        spread, cold = rows, None
-    else:
-        marks = F.broadcast(hot.select(F.col("digest").alias("_hot")))
-        same = rows["digest"].eqNullSafe(F.col("_hot"))
-        spread, cold = rows.join(marks, same, "left_semi"), rows.join(marks, same, "left_anti")
-    merged = spread.withColumn("salt", salt).groupBy("digest", "salt", "text").agg(_first().alias("first"))
+def winners(documents: DataFrame, config: ExactConfig) -> DataFrame:
+    """(digest, check, first): one row for each distinct content; ``first`` is its least doc_id, null where it has none."""
+    rows = documents.select("doc_id", "text", config.digest(F.col("text")).alias("digest"), (F.spark_partition_id() % config.salts).alias("salt"))
+    merged = rows.groupBy("digest", "salt", "text").agg(F.min("doc_id").alias("first"))
     found = merged.groupBy("digest", "text").agg(F.min("first").alias("first"))
-    if cold is not None:
-        found = found.unionByName(cold.groupBy("digest", "text").agg(_first().alias("first")))
     return found.select("digest", config.check(F.col("text")).alias("check"), "first")
 
 
@@ -75,10 +57,8 @@ def exact_groups(documents: DataFrame, config: ExactConfig = ExactConfig()) -> D
     """doc_id, keeper_id, keep, n_rows: one row for every distinct (doc_id, text)."""
     text = F.col("text")
     keyed = documents.select("doc_id", config.digest(text).alias("digest"), config.check(text).alias("check"))
-    ids = cut(keyed.groupBy("doc_id", "digest", "check").agg(F.count("*").alias("n_rows")))
-    hot = cut(ids.groupBy("digest").agg(F.sum("n_rows").alias("n")).where(F.col("n") >= config.hot_rows).select("digest"))
-    few = hot.count() <= config.hot_digests
-    won = cut(winners(documents, hot if few else None, config))
+    ids = keyed.groupBy("doc_id", "digest", "check").agg(F.count("*").alias("n_rows"))
+    won = cut(winners(documents, config))
     one = won.groupBy("digest", "check").agg(F.min("first").alias("first"), F.count("*").alias("contents"))
     one = one.select(F.col("digest").alias("_d"), F.col("check").alias("_c"), "first", "contents")
     joined = ids.join(one, ids["digest"].eqNullSafe(F.col("_d")) & (ids["check"] == F.col("_c")))
@@ -88,13 +68,9 @@ def exact_groups(documents: DataFrame, config: ExactConfig = ExactConfig()) -> D
         texts = documents.select("doc_id", "text", config.digest(text).alias("digest"), config.check(text).alias("check"))
         texts = texts.join(clash, texts["digest"].eqNullSafe(F.col("_d")) & (texts["check"] == F.col("_c")), "left_semi")
         texts = texts.groupBy("doc_id", "text").agg(F.count("*").alias("n_rows"))
-        found = found.unionByName(texts.withColumn("first", _first().over(Window.partitionBy("text"))).select("doc_id", "first", "n_rows"))
-    return found.select(
-        "doc_id",
-        F.col("first.id").alias("keeper_id"),
-        F.col("doc_id").eqNullSafe(F.col("first.id")).alias("keep"),
-        "n_rows",
-    )
+        first = texts.groupBy(F.col("text").alias("_t")).agg(F.min("doc_id").alias("first"))
+        found = found.unionByName(texts.join(first, texts["text"].eqNullSafe(F.col("_t"))).select("doc_id", "first", "n_rows"))
+    return found.select("doc_id", F.col("first").alias("keeper_id"), F.col("doc_id").eqNullSafe(F.col("first")).alias("keep"), "n_rows")
 
 
 def exact_sql(documents: str = "documents") -> str:
