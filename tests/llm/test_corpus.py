@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -106,11 +108,40 @@ def test_chat_edges(spark):
     assert set(out) == {2, 4, None} and out[2] == (2, "<|user|>\na<|end|>\n<|bot|>\n<|end|>\n")
 
 
+CHAT = "conv_id long, turn long, role string, text string"
+
+
+def test_chat_edges_equal_sql(spark, duck):
+    ties = [(10, 0, "user", "y"), (10, 0, "user", "x"), (11, 0, "user", "x"), (12, 0, "user", "x"), (12, 1, "user", "y"), (13, 0, "user", "y"), (14, None, "user", "x"), (14, 0, None, "x")]
+    nulls = [(None, 0, "user", "q"), (None, 1, "user", "q"), (None, 0, None, None), (15, 3, "user", "q"), (15, 4, None, ""), (16, 0, None, None), (16, 0, None, None)]
+    tall = [(20 + c, k, "user" if k % 2 else None, f"turn {k}" * 50) for c in range(3) for k in range(40 + c)]
+    rows = spark.createDataFrame(ties + nulls + tall, CHAT)
+    duck.register("edge_chat", rows.toArrow())
+    want = duck.sql(f"SELECT conv_id, n_turns, rendered FROM ({chat.chat_sql(rows='edge_chat')}) q").fetchall()
+    got = [tuple(r) for r in chat.render(rows.withColumns({"who": F.lit(1), "mark": F.lit(2), "place": F.lit(3)})).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and {10, 13, 14, 15, 16, 22} == {r[0] for r in got}
+
+
+def test_long_conversations_take_linear_time(spark):
+    rows = spark.range(60_000).select((F.col("id") % 2).alias("conv_id"), F.floor(F.col("id") / 2).alias("turn"), F.lit("user").alias("role"), F.concat(F.lit("t"), F.floor(F.col("id") / 2).cast("string")).alias("text"))
+    rows = rows.where("conv_id = 1 OR turn < 29000")
+    began = time.time()
+    assert [(r.conv_id, r.n_turns) for r in chat.render(rows).collect()] == [(1, 30_000)]
+    assert time.time() - began < 20
+
+
 def test_exact_dedup_survives_hash_collisions_and_hot_texts(spark, duck):
     rows = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), (F.col("id") % 7).cast("string")).alias("text"), F.lit("s").alias("source"))
-    same = exact_dedup.ExactConfig(hot_rows=10, salts=4, digest=lambda t: F.when(t == "t1", F.lit(b"x")).otherwise(F.lit(b"y")), check=lambda t: F.lit(1).cast("long"))
-    for config in (same, exact_dedup.ExactConfig(hot_rows=10, hot_digests=2), exact_dedup.ExactConfig()):
-        against_sql(duck, exact_dedup.exact_groups(rows, config), rows, exact_dedup.exact_sql("edge_docs"))
+    hot = rows.withColumn("text", F.when(F.col("doc_id") % 20 < 18, "the text of most rows").otherwise(F.col("text"))).repartition(6)
+    same = exact_dedup.ExactConfig(salts=4, digest=lambda t: F.when(t == "t1", F.lit(b"x")).otherwise(F.lit(b"y")), check=lambda t: F.lit(1).cast("long"))
+    for docs in (rows, hot):
+        for config in (same, exact_dedup.ExactConfig(salts=3), exact_dedup.ExactConfig()):
+            against_sql(duck, exact_dedup.exact_groups(docs, config), docs, exact_dedup.exact_sql("edge_docs"))
+
+
+def test_exact_dedup_never_sorts_texts(spark):
+    plan = exact_dedup.winners(table(spark, DATA, "documents"), exact_dedup.ExactConfig())._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
 
 
 def test_line_dedup_is_reversible(spark, edge, tmp_path):

@@ -5,21 +5,31 @@ gets the rolling hashes of its turn prefixes; one that equals a proper prefix of
 a longer one, or repeats an equal one, is dropped by anti-join.  What remains is
 rendered with a template.
 
+A rolling hash is the running sum of four 32-bit hashes of (place, turn), so it
+takes a pass over a conversation's sorted turns and is never copied.  What is
+dropped is decided on digests of the turns; the texts are shuffled once, for
+rendering, and only those of the conversations that stay.  Texts also take part
+in the decision where a conversation has turns that differ in nothing else.
+
 Defined results: turns are ordered by (turn, role, text), nulls first; repeated
-turn numbers are all kept; rows equal in every respect count as one turn.  Rows
-of null conv_id are one conversation.  Null roles and texts differ from empty
-ones in the hash and render as empty.  Of equal conversations the smallest
-conv_id stays, null last.  Other columns are not read.
+turn numbers are all kept; rows equal in every respect count as one turn.  A row
+of null conv_id belongs to no other and is a conversation by itself.  Null roles
+and texts differ from empty ones in the hash and render as empty.  Of equal
+conversations the smallest conv_id stays, null last and once.  conv_id and turn
+may have any type with an order.  Other columns are not read.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import cut
+from .tables import cut, fingerprint
+
+#: Columns of the rolling hash: four running sums of 32 bits each, with room for 2^31 turns.
+HASH = ("h0", "h1", "h2", "h3")
 
 
 @dataclass(frozen=True)
@@ -32,55 +42,60 @@ class ChatConfig:
     end: str = ""
 
 
-def _tag(value: Column) -> Column:
-    return F.when(value.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.md5(value)))
+def _turns(rows: DataFrame) -> DataFrame:
+    """who (names the conversation, never null), conv_id, turn, role, text, mark (digest of the text)."""
+    rows = rows.select("conv_id", "turn", "role", "text", F.md5("text").alias("mark"))
+    alone = F.concat_ws("-", F.lit("row"), *(F.hex(fingerprint(F.lit(k), "turn", "role", "mark")) for k in range(2)))
+    return rows.withColumn("who", F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), alone))
 
 
-def conversations(rows: DataFrame) -> DataFrame:
-    """conv_id, turns (ordered role, text), prefixes (rolling hash after each turn)."""
-    turns = rows.select("conv_id", F.struct("turn", "role", "text").alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_set("t")).alias("turns"))
-    links = F.transform("turns", lambda t: F.md5(F.concat(_tag(t["role"]), _tag(t["text"]))))
-    rolled = F.aggregate(
-        links,
-        F.array().cast("array<string>"),
-        lambda done, link: F.array_append(done, F.md5(F.concat(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit("")), link))),
-    )
-    return turns.select("conv_id", "turns", rolled.alias("prefixes"))
+def prefixes(rows: DataFrame) -> DataFrame:
+    """who, conv_id, h0..h3, whole: the rolling hash after every turn, and whether it is the last one."""
+    turns = _turns(rows)
+    marks = turns.select("who", "conv_id", "turn", "role", "mark").distinct()
+    doubt = marks.groupBy("who", "turn", "role").agg(F.count("*").alias("n")).where("n > 1").select("who").distinct()
+    doubt = cut(doubt)
+    plain = marks.join(doubt, "who", "left_anti").withColumn("text", F.lit(None).cast("string"))
+    told = turns.join(doubt, "who", "left_semi").select(plain.columns).distinct()
+    order = Window.partitionBy("who").orderBy(*(F.col(c).asc_nulls_first() for c in ("turn", "role", "text")))
+    place = plain.unionByName(told).withColumn("place", F.row_number().over(order)).withColumn("whole", F.lead("place").over(order).isNull())
+    part = lambda k: F.shiftright(fingerprint(F.lit(k), "place", "role", "mark"), 32)
+    sums = [F.sum(part(k)).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias(h) for k, h in enumerate(HASH)]
+    return place.select("who", "conv_id", "whole", *sums)
 
 
 def maximal(rows: DataFrame) -> DataFrame:
-    """The conversations that are no proper prefix of another, each content once."""
-    found = cut(conversations(rows).withColumn("own", F.element_at("prefixes", -1)))
-    inner = found.select(F.explode(F.slice("prefixes", F.lit(1), F.size("prefixes") - 1)).alias("own")).distinct()
-    first = found.groupBy("own").agg(F.min(F.struct(F.col("conv_id").isNull().alias("none"), F.col("conv_id").alias("id"))).alias("first"))
-    first = first.select(F.col("own").alias("_own"), F.col("first.id").alias("_id"))
-    longest = found.join(inner, "own", "left_anti")
-    return longest.join(first, (F.col("own") == F.col("_own")) & F.col("conv_id").eqNullSafe(F.col("_id")), "left_semi")
+    """who of the conversations that are no proper prefix of another, each content once."""
+    least = F.min(F.when(F.col("whole"), F.col("conv_id"))).alias("conv_id")
+    nameless = F.min(F.when(F.col("whole") & F.col("conv_id").isNull(), F.col("who"))).alias("row")
+    found = prefixes(rows).groupBy(*HASH).agg(F.max(~F.col("whole")).alias("inner"), least, nameless)
+    return found.where("NOT inner").select(F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), "row").alias("who"))
 
 
 def render(rows: DataFrame, config: ChatConfig = ChatConfig()) -> DataFrame:
     """conv_id, n_turns, rendered — of the maximal conversations."""
     text = lambda c: F.coalesce(c, F.lit(""))
+    kept = _turns(rows).join(maximal(rows), "who", "left_semi").select("who", "conv_id", F.struct("turn", "role", "text").alias("t"))
+    found = kept.groupBy("who").agg(F.first("conv_id").alias("conv_id"), F.array_sort(F.collect_set("t")).alias("turns"))
     turns = F.transform("turns", lambda t: F.concat(F.lit(config.before), text(t["role"]), F.lit(config.between), text(t["text"]), F.lit(config.after)))
-    return maximal(rows).select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.concat(F.array_join(turns, ""), F.lit(config.end)).alias("rendered"))
+    return found.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.concat(F.array_join(turns, ""), F.lit(config.end)).alias("rendered"))
 
 
 def _quoted(text: str) -> str:
     return " || chr(10) || ".join("'" + part.replace("'", "''") + "'" for part in text.split("\n"))
 
 
-def chat_sql(config: ChatConfig = ChatConfig()) -> str:
+def chat_sql(config: ChatConfig = ChatConfig(), rows: str = "conversations") -> str:
     """DuckDB SQL of :func:`render`; prefixes are compared as lists of turns instead of hashes."""
     return f"""
-WITH turns AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+WITH turns AS (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM (SELECT DISTINCT conv_id, turn, role, text FROM {rows})),
 convs AS (
-  SELECT conv_id, count(*) AS n, list({{'r': role, 't': text}} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS parts,
+  SELECT conv_id, alone, count(*) AS n, list({{'r': role, 't': text}} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS parts,
     string_agg({_quoted(config.before)} || coalesce(role, '') || {_quoted(config.between)} || coalesce(text, '') || {_quoted(config.after)}, ''
       ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) || {_quoted(config.end)} AS rendered
-  FROM turns GROUP BY conv_id),
+  FROM turns GROUP BY conv_id, alone),
 inner_prefixes AS (SELECT DISTINCT parts[1:k] AS parts FROM (SELECT parts, unnest(generate_series(1, n - 1)) AS k FROM convs)),
-firsts AS (SELECT parts, min(conv_id) AS first FROM convs GROUP BY parts)
+firsts AS (SELECT *, row_number() OVER (PARTITION BY parts ORDER BY conv_id NULLS LAST) AS nth FROM convs)
 SELECT c.conv_id, c.n::BIGINT AS n_turns, c.rendered
-FROM convs c JOIN firsts f ON c.parts = f.parts AND c.conv_id IS NOT DISTINCT FROM f.first
-WHERE NOT EXISTS (SELECT 1 FROM inner_prefixes p WHERE p.parts = c.parts)
+FROM firsts c WHERE nth = 1 AND NOT EXISTS (SELECT 1 FROM inner_prefixes p WHERE p.parts = c.parts)
 """
