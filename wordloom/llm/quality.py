@@ -170,6 +170,7 @@ def training_rows(documents: DataFrame, labels: DataFrame, config: QualityConfig
     first = lambda df, value, *order: df.where(F.col("label") == value).orderBy("pick", "doc_id", *order).limit(config.max_train_docs)
     chosen = cut(first(ids, 0).unionByName(first(ids, 1)))
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "pick", "text").distinct()
+    rows = cut(rows)
     return first(rows, 0, "text").unionByName(first(rows, 1, "text"))
 
 
