@@ -38,8 +38,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every remaining row gets its shard."""
-    return sharding.assign(docs)
+    """Every remaining row, with all its columns, gets its shard, depth and page."""
+    return sharding.shard_documents(docs)
 
 
 STAGES = [

@@ -67,8 +67,9 @@ def test_query_equals_its_sql(name, same_as_sql):
 def test_edges_equal_sql(edge, duck, tmp_path):
     docs = "edge_docs"
     against_sql(duck, sharding.assign(edge), edge, sharding.shard_sql(docs))
-    small = sharding.ShardConfig(limit=1000, more_bits=3)
-    against_sql(duck, sharding.assign(edge, small), edge, sharding.shard_sql(docs, small))
+    for small in (sharding.ShardConfig(limit=1000, more_bits=3), sharding.ShardConfig(limit=100, tier_bits=2, broadcast_cells=0)):
+        against_sql(duck, sharding.assign(edge, small), edge, sharding.shard_sql(docs, small))
+        against_sql(duck, sharding.directory(edge, small), edge, sharding.directory_sql(docs, small))
     against_sql(duck, mixing.sample_list(edge), edge, mixing.mix_sql(docs))
     against_sql(duck, secret_scan.scan_secrets(edge), edge, secret_scan.secret_sql(docs))
     against_sql(duck, exact_dedup.exact_groups(edge), edge, exact_dedup.exact_sql(docs))
@@ -353,6 +354,22 @@ def test_water_filling_by_hand(spark):
     assert got == {"a": 4.0, "b": 0.67, "c": 4.0}
 
 
+def test_rows_keep_their_columns_in_shards(spark, edge):
+    config = sharding.ShardConfig(limit=100)
+    out = sharding.shard_documents(edge, config)
+    assert out.columns == [*edge.columns, "_shard", "_depth", "_page"]
+    told = sorted((r.doc_id is None, r.doc_id or 0, r["_shard"], r["_depth"], r["_page"]) for r in out.collect())
+    assert told == sorted((r.doc_id is None, r.doc_id or 0, r.shard, r.depth, r.page) for r in sharding.assign(edge, config).collect())
+    assert sharding.shard_documents(edge.limit(0)).count() == 0 and sharding.directory(edge.limit(0)).count() == 0
+
+
+def test_every_shard_of_many_fits(spark, duck):
+    docs, config = table(spark, DATA, "documents"), sharding.ShardConfig(limit=4000, tier_bits=3)
+    shards = sharding.directory(docs, config).collect()
+    assert len(shards) > 100 and all(r.n_bytes <= 4000 or r.n_docs == 1 for r in shards) and sum(r.n_docs for r in shards) == docs.count()
+    against_sql(duck, sharding.assign(docs, config), docs, sharding.shard_sql("edge_docs", config))
+
+
 def test_pages_of_equal_hashes(spark):
     rows = spark.createDataFrame([(1, "x" * 100)] * 10, "doc_id long, text string")
     out = sharding.assign(rows, sharding.ShardConfig(limit=250)).collect()
@@ -369,5 +386,7 @@ def test_pipeline_against_plain_version(spark, duck):
     rows = [r for r in rows if r[0] not in bad]
     kept = spark.createDataFrame(rows, "doc_id long, text string, source string")
     sql = sharding.shard_sql(f"({mixing.mix_sql('edge_docs', columns='doc_id, text')})")
-    against_sql(duck, corpus_pipeline.run(spark, DATA), kept, sql)
+    out = corpus_pipeline.run(spark, DATA)
+    assert out.columns == [*docs.columns, "shard", "depth", "page"]
+    against_sql(duck, out.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "shard", "depth", "page"), kept, sql)
     assert [len(s) for s in corpus_pipeline.STAGES] == [2] * 5 and all(isinstance(n, str) for n, _ in corpus_pipeline.STAGES)

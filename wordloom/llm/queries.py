@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import chat, decontaminate, exact_dedup, license_scan, line_dedup, mixing, quality, secret_scan, sharding, simhash
 from .tables import shared_dir, table
 
+SMALL_SHARDS = sharding.ShardConfig(limit=64 << 10)
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -22,6 +23,11 @@ def op2_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def sharding_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The directory itself, for shards so small that every table has many."""
+    return sharding.directory(table(spark, sf_dir, "documents"), SMALL_SHARDS)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = os.path.join(shared_dir(spark), f"lines-{uuid.uuid4().hex}")
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), path)
@@ -69,6 +75,7 @@ def queries() -> dict[str, Query]:
             op8_decontamination,
             op9_secret_scan,
             op10_exact_dedup,
+            sharding_directory,
         )
     }
 
@@ -76,6 +83,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_extendible_sharding": sharding.shard_sql(),
+        "sharding_directory": sharding.directory_sql(config=SMALL_SHARDS),
         "op3_line_dedup": line_dedup.line_sql(),
         "op4_chat_formatting": chat.chat_sql(),
         "op6_mixing": mixing.mix_sql(),
