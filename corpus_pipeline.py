@@ -33,8 +33,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are sampled and repeated towards equal weights."""
-    return mixing.mix(docs)
+    """Sources are sampled and repeated towards weights by the root of their bytes."""
+    return mixing.mix(docs, mixing.ROOT)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,7 +70,10 @@ def test_edges_equal_sql(edge, duck, tmp_path):
     for small in (sharding.ShardConfig(limit=1000, more_bits=3), sharding.ShardConfig(limit=100, tier_bits=2, broadcast_cells=0)):
         against_sql(duck, sharding.assign(edge, small), edge, sharding.shard_sql(docs, small))
         against_sql(duck, sharding.directory(edge, small), edge, sharding.directory_sql(docs, small))
-    against_sql(duck, mixing.sample_list(edge), edge, mixing.mix_sql(docs))
+    for weights in (mixing.EQUAL, mixing.ROOT):
+        against_sql(duck, mixing.sample_list(edge, weights), edge, mixing.mix_sql(docs, weights))
+    many = mixing.MixConfig(broadcast_sources=0, salts=3)
+    against_sql(duck, mixing.sample_list(edge, mixing.ROOT, many), edge, mixing.mix_sql(docs, mixing.ROOT))
     against_sql(duck, secret_scan.scan_secrets(edge), edge, secret_scan.secret_sql(docs))
     against_sql(duck, exact_dedup.exact_groups(edge), edge, exact_dedup.exact_sql(docs))
     against_sql(duck, line_dedup.dedup_lines(edge, str(tmp_path / "lines")), edge, line_dedup.line_sql(docs))
@@ -354,6 +357,19 @@ def test_water_filling_by_hand(spark):
     assert got == {"a": 4.0, "b": 0.67, "c": 4.0}
 
 
+def test_given_weights(spark):
+    docs = spark.createDataFrame([(k, "x" * 10, s) for k, s in enumerate("aaaabbbbbbbbcc")] + [(99, "y" * 10, None)], "doc_id long, text string, source string")
+    given = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("a", None), ("b", 1.0), ("c", None), (None, 4.0), ("absent", 9.0), ("d", -1.0)], "source string, weight double")
+    got = {r.source: (r.bytes, r.weight, round(r.share, 6)) for r in mixing.plan(docs, given).collect()}
+    # 130 bytes without c: the null source is clamped at 4 epochs of 10 bytes, and 90 are left for a and b as 3 to 1
+    assert got == {None: (10, 4.0, 40.0), "a": (40, 3.0, 67.5), "b": (80, 1.0, 22.5)}
+    rows = mixing.mix(docs, given).collect()
+    count = lambda s: sum(r.source == s for r in rows)
+    assert count(None) == 4 and count("c") == 0 and 4 <= count("a") <= 8 and count("b") <= 8
+    listed = mixing.sample_list(docs, given).collect()
+    assert sorted((r.doc_id) for r in listed) == sorted(r.doc_id for r in rows) and all(r.epochs == 1.6875 for r in listed if r.source == "a")
+
+
 def test_rows_keep_their_columns_in_shards(spark, edge):
     config = sharding.ShardConfig(limit=100)
     out = sharding.shard_documents(edge, config)
@@ -385,7 +401,7 @@ def test_pipeline_against_plain_version(spark, duck):
     bad = {d for d, _ in brute.leaks([r[:2] for r in rows], [(r.item_id, r.text) for r in items.collect()])}
     rows = [r for r in rows if r[0] not in bad]
     kept = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    sql = sharding.shard_sql(f"({mixing.mix_sql('edge_docs', columns='doc_id, text')})")
+    sql = sharding.shard_sql(f"({mixing.mix_sql('edge_docs', mixing.ROOT, columns='doc_id, text')})")
     out = corpus_pipeline.run(spark, DATA)
     assert out.columns == [*docs.columns, "shard", "depth", "page"]
     against_sql(duck, out.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "shard", "depth", "page"), kept, sql)

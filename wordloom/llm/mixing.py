@@ -9,12 +9,17 @@ is a running sum over the table of sources (one row a source).
 A source's epochs e then give every document floor(e) whole copies, and one more
 where a seeded uniform number of the document lies below the fraction of e.
 
+Target weights are a table (source, weight), or an expression over a source and
+its bytes, such as :data:`ROOT`, by which large sources count less than they are
+large.
+
 Defined results: the budget is ``budget_epochs`` times the bytes of all
-documents, or the sum of the caps if that is less.  Without given weights all
-sources weigh the same; with them, absent sources, and weights that are null or
-not above 0, give nothing.  A null source is a source.  Null or empty texts have
-no bytes but are sampled as their source is; a source of no bytes at all gives
-nothing.  Repeated rows draw the same number.  Other columns are untouched.
+documents of sources that have a weight, or the sum of the caps if that is less.  Without given weights all
+sources weigh the same.  Sources that a table of weights lacks, and weights that
+are null or not above 0, give nothing; of several weights of a source the
+largest counts.  A null source is a source.  Null or empty texts have no bytes
+but are sampled as their source is; a source of no bytes at all gives nothing.
+Repeated rows draw the same number.  Other columns are untouched.
 """
 
 from __future__ import annotations
@@ -29,12 +34,21 @@ from .tables import cut, spare
 
 @dataclass(frozen=True)
 class MixConfig:
-    """``broadcast_sources``: up to so many sources the plan is broadcast; beyond that it is joined by shuffle."""
+    """``broadcast_sources``: up to so many sources the plan is broadcast; beyond that every source is joined in ``salts`` places."""
 
     max_epochs: int = 4
     budget_epochs: float = 1.0
     seed: int = 7
     broadcast_sources: int = 100_000
+    salts: int = 64
+
+
+#: Weights by the root of a source's bytes, as an SQL expression that Spark and DuckDB share.
+ROOT = "sqrt(bytes)"
+#: All sources alike.
+EQUAL = "CAST(1 AS DOUBLE)"
+
+Weights = DataFrame | str
 
 
 def uniform(doc_id: Column, text: Column, seed: int) -> Column:
@@ -63,46 +77,52 @@ def water_fill(sizes: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     return filled.select("source", "bytes", "weight", share.alias("share"), (share / F.col("bytes")).alias("epochs"))
 
 
-def plan(documents: DataFrame, weights: DataFrame | None = None, config: MixConfig = MixConfig()) -> DataFrame:
-    """Epochs of each source of ``documents``; ``weights`` has source, weight."""
+def plan(documents: DataFrame, weights: Weights = EQUAL, config: MixConfig = MixConfig()) -> DataFrame:
+    """Epochs of each source of ``documents``; ``weights`` is a table of source, weight, or SQL over source and bytes."""
     sizes = documents.groupBy("source").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).alias("bytes"))
-    if weights is None:
-        sizes = sizes.withColumn("weight", F.lit(1.0))
+    if isinstance(weights, str):
+        sizes = sizes.withColumn("weight", F.expr(weights).cast("double"))
     else:
         given = weights.groupBy(F.col("source").alias("_of")).agg(F.max("weight").cast("double").alias("weight"))
         sizes = sizes.join(given, F.col("source").eqNullSafe(F.col("_of"))).select("source", "bytes", "weight")
     return water_fill(sizes, config)
 
 
-def _copies(documents: DataFrame, weights: DataFrame | None, config: MixConfig, epochs: str, copy: str) -> DataFrame:
+def _copies(documents: DataFrame, weights: Weights, config: MixConfig, epochs: str, copy: str) -> DataFrame:
     found = cut(plan(documents, weights, config))
     of = spare(documents, "of")
     found = found.select(F.col("source").alias(of), F.col("epochs").alias(epochs))
+    same = documents["source"].eqNullSafe(F.col(of))
     if found.count() <= config.broadcast_sources:
-        found = F.broadcast(found)
-    rows = documents.join(found, documents["source"].eqNullSafe(F.col(of))).drop(of)
+        rows = documents.join(F.broadcast(found), same).drop(of)
+    else:
+        salt, own = spare(documents, "salt"), spare(documents, "own_salt")
+        found = found.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(config.salts - 1))))
+        salted = documents.withColumn(own, F.pmod(F.xxhash64("doc_id", "text"), F.lit(config.salts)).cast("int"))
+        rows = salted.join(found, same & (F.col(own) == F.col(salt))).drop(of, own, salt)
     whole = F.floor(epochs).cast("int")
     times = whole + (uniform(F.col("doc_id"), F.col("text"), config.seed) < F.col(epochs) - whole).cast("int")
     return rows.withColumn(copy, times).where(F.col(copy) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy))))
 
 
-def sample_list(documents: DataFrame, weights: DataFrame | None = None, config: MixConfig = MixConfig()) -> DataFrame:
+def sample_list(documents: DataFrame, weights: Weights = EQUAL, config: MixConfig = MixConfig()) -> DataFrame:
     """doc_id, source, epochs, copy: one row for every repetition of every sampled document."""
     rows = documents.select("doc_id", "source", "text")
     return _copies(rows, weights, config, "epochs", "copy").select("doc_id", "source", F.round("epochs", 6).alias("epochs"), F.col("copy").cast("long").alias("copy"))
 
 
-def mix(documents: DataFrame, weights: DataFrame | None = None, config: MixConfig = MixConfig()) -> DataFrame:
+def mix(documents: DataFrame, weights: Weights = EQUAL, config: MixConfig = MixConfig()) -> DataFrame:
     """The sampled documents themselves, repeated, with the columns they came with."""
     epochs, copy = spare(documents, "epochs"), spare(documents, "copy")
     return _copies(documents, weights, config, epochs, copy).drop(epochs, copy)
 
 
-def mix_sql(documents: str = "documents", config: MixConfig = MixConfig(), columns: str = "doc_id, source, round(epochs, 6) AS epochs, copy") -> str:
-    """DuckDB SQL of :func:`sample_list` with equal weights."""
+def mix_sql(documents: str = "documents", weights: str = EQUAL, config: MixConfig = MixConfig(), columns: str = "doc_id, source, round(epochs, 6) AS epochs, copy") -> str:
+    """DuckDB SQL of :func:`sample_list` with weights by expression."""
     return f"""
-WITH sizes AS (SELECT source, sum(coalesce(strlen(text), 0))::BIGINT AS bytes, 1.0::DOUBLE AS weight FROM {documents} GROUP BY source),
-live AS (SELECT *, (bytes * {config.max_epochs})::DOUBLE AS cap FROM sizes WHERE bytes > 0),
+WITH bytes_of AS (SELECT source, sum(coalesce(strlen(text), 0))::BIGINT AS bytes FROM {documents} GROUP BY source),
+sizes AS (SELECT *, ({weights})::DOUBLE AS weight FROM bytes_of),
+live AS (SELECT *, (bytes * {config.max_epochs})::DOUBLE AS cap FROM sizes WHERE bytes > 0 AND weight > 0),
 levels AS (
   SELECT *, least({config.budget_epochs}::DOUBLE * sum(bytes) OVER (), sum(cap) OVER ()) AS budget,
     coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS spent,

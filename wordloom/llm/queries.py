@@ -46,7 +46,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.sample_list(table(spark, sf_dir, "documents"))
+    return mixing.sample_list(table(spark, sf_dir, "documents"), mixing.ROOT)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +86,7 @@ def oracle_sql() -> dict[str, str]:
         "sharding_directory": sharding.directory_sql(config=SMALL_SHARDS),
         "op3_line_dedup": line_dedup.line_sql(),
         "op4_chat_formatting": chat.chat_sql(),
-        "op6_mixing": mixing.mix_sql(),
+        "op6_mixing": mixing.mix_sql(weights=mixing.ROOT),
         "op9_secret_scan": secret_scan.secret_sql(),
         "op10_exact_dedup": exact_dedup.exact_sql(),
     }
