@@ -44,24 +44,35 @@ class ChatConfig:
 
 def _turns(rows: DataFrame) -> DataFrame:
     """who (names the conversation, never null), conv_id, turn, role, text, mark (digest of the text)."""
-    rows = rows.select("conv_id", "turn", "role", "text", F.md5("text").alias("mark"))
+    rows = rows.select("conv_id", "turn", "role", "text", F.unhex(F.md5("text")).alias("mark"))
     alone = F.concat_ws("-", F.lit("row"), *(F.hex(fingerprint(F.lit(k), "turn", "role", "mark")) for k in range(2)))
     return rows.withColumn("who", F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), alone))
 
 
-def prefixes(rows: DataFrame) -> DataFrame:
-    """who, conv_id, h0..h3, whole: the rolling hash after every turn, and whether it is the last one."""
-    turns = _turns(rows)
-    marks = turns.select("who", "conv_id", "turn", "role", "mark").distinct()
-    doubt = marks.groupBy("who", "turn", "role").agg(F.count("*").alias("n")).where("n > 1").select("who").distinct()
-    doubt = cut(doubt)
-    plain = marks.join(doubt, "who", "left_anti").withColumn("text", F.lit(None).cast("string"))
-    told = turns.join(doubt, "who", "left_semi").select(plain.columns).distinct()
-    order = Window.partitionBy("who").orderBy(*(F.col(c).asc_nulls_first() for c in ("turn", "role", "text")))
-    place = plain.unionByName(told).withColumn("place", F.row_number().over(order)).withColumn("whole", F.lead("place").over(order).isNull())
+def _rolled(turns: DataFrame, last: str) -> DataFrame:
+    """who, conv_id, h0..h3, whole, tied: turns in the order of (turn, role, ``last``); ``tied`` where only that tells two of them apart."""
+    order = Window.partitionBy("who").orderBy(*(F.col(c).asc_nulls_first() for c in ("turn", "role", last)))
+    alike = lambda c: F.lag(c).over(order).eqNullSafe(F.col(c))
+    placed = turns.withColumns({
+        "place": F.row_number().over(order),
+        "whole": F.lead(F.lit(1)).over(order).isNull(),
+        "tied": F.lag(F.lit(1)).over(order).isNotNull() & alike("turn") & alike("role"),
+    })
     part = lambda k: F.shiftright(fingerprint(F.lit(k), "place", "role", "mark"), 32)
     sums = [F.sum(part(k)).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias(h) for k, h in enumerate(HASH)]
-    return place.select("who", "conv_id", "whole", *sums)
+    return placed.select("who", "conv_id", *sums, "whole", "tied")
+
+
+def prefixes(rows: DataFrame) -> DataFrame:
+    """who, conv_id, h0..h3, whole, tied: the rolling hash after every turn, and whether it is the last one."""
+    turns = _turns(rows)
+    found = cut(_rolled(turns.select("who", "conv_id", "turn", "role", "mark").distinct(), "mark"))
+    tied = found.where("tied").select("who").distinct()
+    if tied.isEmpty():
+        return found
+    tied = cut(tied)
+    told = turns.join(tied, "who", "left_semi").distinct()
+    return found.join(tied, "who", "left_anti").unionByName(_rolled(told, "text"))
 
 
 def maximal(rows: DataFrame) -> DataFrame:
