@@ -2,6 +2,7 @@ import time
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +78,7 @@ def test_edges_equal_sql(edge, duck, tmp_path):
     against_sql(duck, secret_scan.scan_secrets(edge), edge, secret_scan.secret_sql(docs))
     against_sql(duck, exact_dedup.exact_groups(edge), edge, exact_dedup.exact_sql(docs))
     against_sql(duck, line_dedup.dedup_lines(edge, str(tmp_path / "lines")), edge, line_dedup.line_sql(docs))
+    against_sql(duck, line_dedup.dedup_in_parts(edge, str(tmp_path / "parts"), line_dedup.LineConfig(3, 1)), edge, line_dedup.line_sql(docs))
 
 
 def test_edges_keep_columns(edge, labels, items):
@@ -96,7 +98,7 @@ def test_edges_keep_columns(edge, labels, items):
 def test_empty_tables(edge, labels, items, spark, tmp_path):
     none = edge.limit(0)
     outs = [
-        license_scan.scan_licenses(none), sharding.assign(none), line_dedup.dedup_lines(none, str(tmp_path / "none")), simhash.near_groups(none),
+        license_scan.scan_licenses(none), sharding.assign(none), line_dedup.dedup_lines(none, str(tmp_path / "none")), line_dedup.dedup_in_parts(none, str(tmp_path / "parts")), simhash.near_groups(none),
         mixing.sample_list(none), quality.classify(none, labels), decontaminate.leaks(none, items), secret_scan.scan_secrets(none),
         exact_dedup.exact_groups(none), quality.keep_good(none, labels.limit(0)), simhash.drop_near_copies(none), mixing.mix(none), decontaminate.drop_leaks(none, items),
         chat.render(spark.createDataFrame([], "conv_id long, turn long, role string, text string")),
@@ -151,25 +153,58 @@ def test_exact_dedup_never_sorts_texts(spark):
 def test_line_dedup_is_reversible(spark, edge, tmp_path):
     docs = edge.select("doc_id", "text")
     first, second = docs.where("doc_id <= 2 OR doc_id = 7"), docs.where("doc_id > 2 AND doc_id <> 7 OR doc_id IS NULL")
-    config = line_dedup.LineConfig(shards=3)
-    grown = line_dedup.LineIndex.create(docs, str(tmp_path / "grown"), config)
+    config = line_dedup.LineConfig(shard_lines=2)
+    where = str(tmp_path / "grown")
+    grown = line_dedup.LineIndex.open(spark, where, config)
     grown.insert(first)
     grown.insert(second)
-    grown.insert(first)
+    grown = line_dedup.LineIndex.open(spark, where, config)
+    again = grown.insert(first)
     key = lambda rows: sorted(map(repr, rows))
+    assert grown.refs.where(F.col("batch") == again).isEmpty()
     grown.delete(docs.where("doc_id = 1"))
-    fresh = line_dedup.LineIndex.create(docs, str(tmp_path / "fresh"), config)
+    grown.delete(docs.where("doc_id = 99"))
+    fresh = line_dedup.LineIndex(spark, str(tmp_path / "fresh"), config)
     fresh.insert(first.where("doc_id <> 1"))
-    fresh.insert(second)
+    batch = fresh.insert(second)
     rest = docs.where("doc_id <> 1 OR doc_id IS NULL")
-    assert key(grown.texts(rest).collect()) == key(fresh.texts(rest).collect())
-    counts = lambda index: key(index.refs.select("d1", "d2", "doc_id", "place", "n").collect())
-    assert counts(grown) == counts(fresh)
-    lines = grown.refs.select("shard", "d1", "d2").distinct().toArrow()
-    held = {r["shard"]: cuckoo.CuckooFilter.load(bytes(r["filter"])) for r in grown.filters.collect()}
-    for shard, d1, d2 in zip(*(lines[c].to_pylist() for c in ("shard", "d1", "d2"))):
-        one = pa.table({"d1": [d1], "d2": [d2]})
-        assert held[shard].has(line_dedup._keys(one.cast(pa.schema([("d1", pa.int64()), ("d2", pa.int64())])).combine_chunks()))[0]
+    want = key(fresh.texts(rest).collect())
+    counts = lambda index: key(index.refs.select("d1", "d2", "doc_id", "place").collect())
+    for index in (grown, line_dedup.LineIndex.open(spark, where, config)):
+        assert key(index.texts(rest).collect()) == want and counts(index) == counts(fresh)
+    assert key(fresh.texts(second, batch).collect()) == key(fresh.texts(second).collect()) == key(grown.texts(second, 2).collect())
+    for index in (grown, fresh):
+        _filters_hold_what_is_left(index)
+    grown.compact()
+    assert key(grown.texts(rest).collect()) == want and len(grown.runs) == 1 and counts(grown) == counts(fresh)
+    _filters_hold_what_is_left(line_dedup.LineIndex.open(spark, where, config))
+    grown.insert(docs)
+    assert {r.doc_id for r in grown.refs.where("batch > 4").collect()} == {1}
+
+
+def _filters_hold_what_is_left(index):
+    for run in index.runs:
+        held = {r["shard"]: cuckoo.CuckooFilter.load(bytes(r["filter"])) for r in index.filters(run).collect()}
+        lines = index.run(run).select("d1", "d2").distinct().withColumn("shard", line_dedup._shard(run.shards)).toArrow()
+        for shard in set(lines["shard"].to_pylist()):
+            own = lines.filter(pa.compute.equal(lines["shard"], shard))
+            assert held[shard].has(line_dedup._keys(own)).all() and len(held[shard]) == own.num_rows
+        assert sum(map(len, held.values())) == lines.num_rows
+
+
+def test_digests_of_lines_are_independent(spark):
+    one = spark.createDataFrame([("some line",), ("another",)], "line string")
+    for r in one.select(F.xxhash64("line").alias("d1"), F.xxhash64(F.lit(1), "line").alias("d2"), F.xxhash64(F.xxhash64("line"), F.lit(1)).alias("x"), F.xxhash64("line", F.lit(1)).alias("chained")).collect():
+        assert r.d2 not in (r.chained, r.x, r.d1)
+
+
+def test_line_shards_are_ranges(spark):
+    rows = spark.range(2000).select(F.xxhash64("id").alias("d2")).unionByName(spark.createDataFrame([(-(1 << 63),), ((1 << 63) - 1,), (0,), (-1,)], "d2 long"))
+    for shards in (1, 3, 7, 1000):
+        told = rows.select("d2", line_dedup._shard(shards).alias("s")).collect()
+        assert 0 <= min(r.s for r in told) and max(r.s for r in told) < shards
+        for s in {r.s for r in told} if shards < 10 else {0, 999}:
+            assert {r.d2 for r in rows.where(line_dedup._range(s, shards)).collect()} == {r.d2 for r in told if r.s == s}
 
 
 def test_cuckoo_filter():

@@ -1,225 +1,317 @@
 """Incremental, reversible line deduplication.
 
-The state is two tables below a folder, written anew by every change as the
-next version, so a failed change leaves the last version valid:
-
-* ``refs`` — the exact reference counts: for every line (128-bit digest) and
-  document, the batch it came with, its first place in it and how often it
-  occurs there.  The first reference of a line, by (batch, doc_id, place), owns
-  it: that occurrence is kept and all others are dropped.
-* ``filters`` — one cuckoo filter for each hash shard of the lines.
-
-Inserting tests the new lines against the filters.  What a filter surely lacks
-is new and never looks at ``refs``; only possible hits are joined with it.
-Deleting documents removes their references, drops the lines that nobody refers
-to from the filters, and passes lines on to their next reference, so the result
-is as if the deleted documents had never been inserted.  A filter that is full
-is rebuilt from the exact table.
-
-Defined results: a line is what stands between line feeds, compared exactly;
-blank lines are always kept and not counted.  A null text has no lines and stays
-null.  Rows equal in doc_id and text are one document, listed once, and so is a
-document that is inserted again.  Null ids come last in the order.  Columns
-other than doc_id and text are not read.
+The state below a folder only ever grows by new files, and a change counts once
+its entry is in the log, so a failed change leaves the index as it was:
+
+* ``refs/<run>`` — the exact reference table of one inserted batch: every
+  occurrence of a line (128-bit digest) in a document, sorted by digest.  Each
+  document also refers to itself, at place -1.  The number of a line's rows is
+  its reference count; the first of them by (batch, doc_id, content, place) owns
+  the line: that occurrence is kept and all others are dropped.
+* ``filters/<version>`` — a cuckoo filter for each hash shard of a run's
+  different lines; newer versions replace those of the same run and shard.
+* ``gone/<version>`` — the documents that a deletion took out; they hide the
+  references of earlier batches.
+* ``log/<version>`` — what each version did, and into how many shards a run is
+  divided; the number follows the run's lines, so a shard stays small.
+
+Inserting a batch probes the filters of earlier runs with its documents, and its
+texts (:meth:`LineIndex.texts`) are found by probing them with its lines: what a
+filter surely lacks is new and is never looked up; only possible hits are joined
+with earlier references, of which only the row groups of the hit shards are read
+while these are few.  Deleting documents hides their references, takes lines
+that no document of a run refers to any more out of its filter, and passes
+others on to their next reference, so the result is as if the deleted documents
+had never been inserted.  :meth:`LineIndex.compact` merges all runs into one.
+
+Defined results: a line is what stands between line feeds, compared by its
+128-bit digest; blank lines are always kept and not counted.  A null text has no
+lines and stays null.  Rows equal in doc_id and text are one document, listed
+once, and so is a document that is inserted again.  Null ids come last in the
+order.  doc_id may have any type with an order.  Columns other than doc_id and
+text are not read.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import map_batches, ship
+from ..runtime import ship
 from .cuckoo import CuckooFilter
-from .tables import cut, fingerprint, join_id
+from .tables import cut, fingerprint
 
-REFS = "shard int, d1 long, d2 long, batch int, doc_id long, content long, place int, n int"
-FILTERS = "shard int, filter binary, full boolean"
+FILTERS = "run int, shard int, filter binary, full boolean"
+LOG = "version int, kind string, shards int"
+KEYS = ["k1", "k2"]
+LINE = ["d1", "d2"]
 
 
 @dataclass(frozen=True)
 class LineConfig:
-    """``shard_lines``: lines a filter shard should hold when the index is created."""
+    """``shard_lines``: lines of a filter shard; ``few_shards``: up to so many hit shards are looked up by their ranges."""
 
     shard_lines: int = 200_000
-    shards: int | None = None
+    few_shards: int = 256
+
+
+@dataclass(frozen=True)
+class Run:
+    """References below ``refs/<version>``, with filters in ``shards`` shards."""
+
+    version: int
+    shards: int
 
 
 def _documents(documents: DataFrame) -> DataFrame:
-    return documents.select("doc_id", "text", fingerprint("doc_id", "text").alias("content"), join_id(F.col("doc_id")).alias("id"))
+    keys = [fingerprint("doc_id", "text").alias("k1"), fingerprint(F.lit(1), "doc_id", "text").alias("k2")]
+    return documents.select("doc_id", "text", *keys)
+
+
+def _shard(shards: int) -> Column:
+    """Shard of a line: the range of d2 it lies in."""
+    return F.shiftright((F.shiftright("d2", 40) + F.lit(1 << 23)) * F.lit(shards), 24).cast("int")
+
+
+def _range(shard: int, shards: int) -> Column:
+    """A condition on d2 that all lines of a shard meet."""
+    low, high = -(-(shard << 24) // shards), -(-((shard + 1) << 24) // shards)
+    return F.col("d2").between((low - (1 << 23)) << 40, min(((high - (1 << 23)) << 40) - 1, (1 << 63) - 1))
 
 
 def _owner() -> Column:
-    return F.struct("batch", F.col("doc_id").isNull().alias("none"), "doc_id", "content")
+    return F.struct("batch", F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "place")
 
 
 def _keys(lines: pa.Table) -> np.ndarray:
     return np.asarray(lines["d1"].combine_chunks()).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(lines["d2"].combine_chunks()).astype(np.uint64)
 
 
-def _row(shard: pa.Table, held: CuckooFilter, full: bool) -> pa.Table:
-    return pa.table({"shard": shard["shard"].slice(0, 1).cast(pa.int32()), "filter": pa.array([held.dump()], pa.binary()), "full": pa.array([full])})
+def _row(of: pa.Table, held: CuckooFilter) -> pa.Table:
+    return pa.table({"run": of["run"].slice(0, 1), "shard": of["shard"].slice(0, 1), "filter": pa.array([held.dump()], pa.binary()), "full": pa.array([False])})
 
 
-def _rebuild(table: pa.Table) -> pa.Table:
-    return _row(table, CuckooFilter.build(_keys(table)), False)
+def _build(lines: pa.Table) -> pa.Table:
+    return _row(lines, CuckooFilter.build(_keys(lines)))
 
 
-def _add(left: pa.Table, right: pa.Table) -> pa.Table:
-    if not right.num_rows:
-        return _row(left, CuckooFilter.build(_keys(left)), False)
-    held = CuckooFilter.load(right["filter"][0].as_py())
-    return _row(right, held, bool(left.num_rows) and not held.add(_keys(left)))
+def _drop(lines: pa.Table, filters: pa.Table) -> pa.Table:
+    if not lines.num_rows or not filters.num_rows:
+        return _EMPTY
+    held = CuckooFilter.load(filters["filter"][0].as_py())
+    held.drop(_keys(lines))
+    return _row(filters, held)
 
 
-def _drop(left: pa.Table, right: pa.Table) -> pa.Table:
-    held = CuckooFilter.load(right["filter"][0].as_py())
-    if left.num_rows:
-        held.drop(_keys(left))
-    return _row(right, held, False)
+def _possible(lines: pa.Table, filters: pa.Table) -> pa.Table:
+    lines = lines.select(["shard", "d1", "d2"])
+    if not filters.num_rows or not lines.num_rows:
+        return lines.slice(0, 0)
+    return lines.filter(pa.array(CuckooFilter.load(filters["filter"][0].as_py()).has(_keys(lines))))
 
 
-def _possible(left: pa.Table, right: pa.Table) -> pa.Table:
-    left = left.select(["shard", "d1", "d2"])
-    if not right.num_rows or not left.num_rows:
-        return left.slice(0, 0)
-    return left.filter(pa.array(CuckooFilter.load(right["filter"][0].as_py()).has(_keys(left))))
+_EMPTY = pa.table({"run": pa.array([], pa.int32()), "shard": pa.array([], pa.int32()), "filter": pa.array([], pa.binary()), "full": pa.array([], pa.bool_())})
 
 
 class LineIndex:
-    """A line index below ``path``; create with :meth:`create`."""
+    """The line index below ``path``; :meth:`open` finds what an earlier session wrote there."""
 
-    def __init__(self, spark: SparkSession, path: str, shards: int, version: int = 0, batch: int = 0):
+    def __init__(self, spark: SparkSession, path: str, config: LineConfig = LineConfig()):
         ship(spark)
-        self.spark, self.path, self.shards, self.version, self.batch = spark, path, shards, version, batch
+        self.spark, self.path, self.config = spark, path, config
+        self.version, self.runs, self.gone, self.changed = 0, [], [], []
 
     @staticmethod
-    def create(documents: DataFrame, path: str, config: LineConfig = LineConfig()) -> LineIndex:
-        """An empty index with as many shards as the lines of ``documents`` need."""
-        shards = config.shards
-        if shards is None:
-            feeds = F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)
-            shards = max(8, -(-(documents.agg(feeds).first()[0] or 0) // config.shard_lines))
-        return LineIndex(documents.sparkSession, path, shards)
-
-    def _table(self, name: str, schema: str) -> DataFrame:
-        if self.version == 0:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(os.path.join(self.path, str(self.version), name))
+    def open(spark: SparkSession, path: str, config: LineConfig = LineConfig()) -> LineIndex:
+        """The index as its log tells; an empty one where there is none."""
+        index = LineIndex(spark, path, config)
+        try:
+            entries = spark.read.schema(LOG).json(os.path.join(path, "log", "*")).collect()
+        except AnalysisException:
+            return index
+        for entry in sorted(entries):
+            index._apply(*entry)
+        return index
+
+    def _apply(self, version: int, kind: str, shards: int) -> None:
+        self.version = version
+        if kind == "delete":
+            self.gone.append(version)
+            self.changed.append(version)
+        else:
+            if kind == "compact":
+                self.runs, self.gone, self.changed = [], [], []
+            self.runs.append(Run(version, shards))
+
+    def _at(self, *names) -> str:
+        return os.path.join(self.path, *map(str, names))
+
+    def _commit(self, kind: str, shards: int = 0) -> None:
+        """The entry of the version whose files are all written; it is what makes it count."""
+        version = self.version + 1
+        self.spark.createDataFrame([(version, kind, shards)], LOG).coalesce(1).write.mode("overwrite").json(self._at("log", version))
+        self._apply(version, kind, shards)
+
+    def _alive(self, refs: DataFrame) -> DataFrame:
+        """References without those of deleted documents."""
+        for version in self.gone:
+            gone = self.spark.read.parquet(self._at("gone", version))
+            refs = refs.join(gone.withColumn("until", F.lit(version)), [refs[k] == gone[k] for k in KEYS] + [F.col("batch") < F.col("until")], "left_anti")
+        return refs
+
+    def run(self, run: Run) -> DataFrame:
+        """d1, d2, doc_id, k1, k2, place, batch: the references of a run."""
+        return self._alive(self.spark.read.parquet(self._at("refs", run.version)))
 
     @property
-    def refs(self) -> DataFrame:
-        return self._table("refs", REFS)
-
-    @property
-    def filters(self) -> DataFrame:
-        return self._table("filters", FILTERS)
-
-    def _write(self, version: int, refs: DataFrame, update, lines: DataFrame) -> None:
-        """Write a version: the references, and the filters after ``update`` with ``lines``."""
-        where = os.path.join(self.path, str(version))
-        refs.write.parquet(f"{where}/refs")
-        written = self.spark.read.schema(REFS).parquet(f"{where}/refs")
-        filters = cut(lines.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(update, FILTERS))
-        full = filters.where("full").select("shard")
-        again = written.join(full, "shard", "left_semi").select("shard", "d1", "d2").distinct().groupBy("shard").applyInArrow(_rebuild, FILTERS)
-        filters.where("NOT full").unionByName(again).write.parquet(f"{where}/filters")
-        self.version = version
+    def refs(self) -> DataFrame | None:
+        """All references, or None in an empty index."""
+        return reduce(DataFrame.unionByName, map(self.run, self.runs)) if self.runs else None
+
+    def filters(self, run: Run) -> DataFrame:
+        """run, shard, filter: the newest filters of a run."""
+        read = lambda v: self.spark.read.schema(FILTERS).parquet(self._at("filters", v)).where(F.col("run") == run.version).drop("full")
+        found = read(run.version)
+        for version in self.changed:
+            if version > run.version:
+                newer = read(version)
+                found = found.join(newer.select("shard"), "shard", "left_anti").unionByName(newer)
+        return found
 
     def _lines(self, documents: DataFrame) -> DataFrame:
-        lines = documents.select("doc_id", "content", F.posexplode(F.split("text", "\n")).alias("place", "line")).where("line RLIKE '[^ \\t\\r]'")
-        lines = lines.select("doc_id", "content", "place", F.xxhash64("line").alias("d1"), F.xxhash64("line", F.lit(1)).alias("d2"))
-        refs = lines.groupBy("d1", "d2", "doc_id", "content").agg(F.min("place").alias("place"), F.count("*").cast("int").alias("n"))
-        return refs.select(F.pmod("d2", F.lit(self.shards)).cast("int").alias("shard"), "d1", "d2", F.lit(self.batch + 1).alias("batch"), "doc_id", "content", "place", "n")
-
-    def _without(self, rows: DataFrame, known: DataFrame, how: str) -> DataFrame:
-        known = known.select(join_id(F.col("doc_id")).alias("id"), "content").distinct()
-        return rows.withColumn("id", join_id(F.col("doc_id"))).join(known, ["content", "id"], how).drop("id")
+        """d1, d2, doc_id, k1, k2, place: all occurrences of lines that aren't blank, and each document itself."""
+        rows = _documents(documents)
+        lines = rows.select("doc_id", *KEYS, F.posexplode(F.split("text", "\n")).alias("place", "line")).where("line RLIKE '[^ \\t\\r]'")
+        lines = lines.select(F.xxhash64("line").alias("d1"), F.xxhash64(F.lit(1), "line").alias("d2"), "doc_id", *KEYS, "place")
+        return lines.unionByName(rows.select(F.col("k1").alias("d1"), F.col("k2").alias("d2"), "doc_id", *KEYS, F.lit(-1).alias("place")))
+
+    def _hits(self, lines: DataFrame, run: Run) -> DataFrame:
+        """References of ``run`` to some different lines (d1, d2): the filters are asked first, and only possible hits are looked up."""
+        asked = lines.withColumn("shard", _shard(run.shards))
+        possible = cut(asked.groupBy("shard").cogroup(self.filters(run).groupBy("shard")).applyInArrow(_possible, "shard int, d1 long, d2 long"))
+        refs, few = self.run(run), self.config.few_shards
+        shards = [r.shard for r in possible.select("shard").distinct().limit(few + 1).collect()]
+        if len(shards) <= few:
+            refs = refs.where(reduce(Column.__or__, (_range(s, run.shards) for s in shards), F.lit(False)))
+        return refs.join(possible.select(*LINE), LINE, "left_semi")
+
+    def _write(self, refs: DataFrame, kind: str) -> None:
+        """A new run from references: sorted by line, hot lines apart, then its filters."""
+        version = self.version + 1
+        placed = refs.repartitionByRange("d2", "k1", "place").dropDuplicates(["d1", "d2", "k1", "k2", "place"])
+        placed.sortWithinPartitions("d2").write.mode("overwrite").parquet(self._at("refs", version))
+        lines = self.spark.read.parquet(self._at("refs", version)).select(*LINE).distinct()
+        lines = cut(lines)
+        shards = max(1, min(1 << 23, -(-lines.count() // self.config.shard_lines)))
+        rows = lines.withColumn("shard", _shard(shards)).withColumn("run", F.lit(version))
+        rows.groupBy("shard").applyInArrow(_build, FILTERS).write.mode("overwrite").parquet(self._at("filters", version))
+        self._commit(kind, shards)
 
     def insert(self, documents: DataFrame) -> int:
         """Insert the documents that the index doesn't hold yet; returns the number of their batch."""
-        rows, old, where = _documents(documents), self.refs, os.path.join(self.path, str(self.version + 1))
-        if self.version:
-            rows = self._without(rows, old, "left_anti")
-        self._lines(rows).write.parquet(f"{where}/batch")
-        new = self.spark.read.schema(REFS).parquet(f"{where}/batch")
-        lines = new.select("shard", "d1", "d2").distinct()
-        if self.version:
-            possible = lines.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(_possible, "shard int, d1 long, d2 long")
-            known = possible.join(old.select("d1", "d2"), ["d1", "d2"], "left_semi")
-            lines = lines.join(known.select("d1", "d2"), ["d1", "d2"], "left_anti").select("shard", "d1", "d2")
-        self._write(self.version + 1, old.unionByName(new), _add, lines)
-        self.batch += 1
-        return self.batch
+        lines = self._lines(documents)
+        if self.runs:
+            keys = _documents(documents).select(F.col("k1").alias("d1"), F.col("k2").alias("d2")).distinct()
+            known = [self._hits(keys, run).where("place = -1").select(*KEYS) for run in self.runs]
+            known = cut(reduce(DataFrame.unionByName, known))
+            if not known.isEmpty():
+                lines = lines.join(known, KEYS, "left_anti")
+        self._write(lines.withColumn("batch", F.lit(self.version + 1)), "insert")
+        return self.version
 
     def delete(self, documents: DataFrame) -> None:
-        """Take documents (doc_id, text) out again."""
-        old, rows = self.refs, _documents(documents)
-        gone, left = self._without(old, rows, "left_semi"), self._without(old, rows, "left_anti")
-        vanished = gone.select("shard", "d1", "d2").distinct().join(left.select("d1", "d2"), ["d1", "d2"], "left_anti")
-        self._write(self.version + 1, left, _drop, vanished.select("shard", "d1", "d2"))
-
-    def dropped(self) -> DataFrame:
-        """doc_id, content, places: first places of the lines that another document owns."""
-        refs = self.refs.withColumn("who", _owner())
-        owners = refs.groupBy("d1", "d2").agg(F.min("who").alias("owner"))
-        other = refs.join(owners, ["d1", "d2"]).where("who <> owner")
-        return other.groupBy("doc_id", "content").agg(F.collect_list("place").alias("places"))
-
-    def texts(self, documents: DataFrame) -> DataFrame:
-        """doc_id, text without dropped lines, n_lines (not blank), n_dropped, for documents of the index."""
+        """Take documents (doc_id, text) out again; those the index doesn't hold are ignored."""
+        version = self.version + 1
+        keys = cut(_documents(documents).select(*KEYS).distinct())
+        asked = keys.select(F.col("k1").alias("d1"), F.col("k2").alias("d2"))
+        changed = None
+        for run in self.runs:
+            held = cut(self._hits(asked, run).where("place = -1").select(*KEYS))
+            if held.isEmpty():
+                continue
+            refs = self.run(run)
+            away = cut(refs.join(held, KEYS, "left_semi").select(*LINE).distinct())
+            left = refs.join(held, KEYS, "left_anti").select(*LINE)
+            vanished = away.join(left, LINE, "left_anti").withColumn("shard", _shard(run.shards))
+            part = vanished.groupBy("shard").cogroup(self.filters(run).groupBy("shard")).applyInArrow(_drop, FILTERS)
+            changed = part if changed is None else changed.unionByName(part)
+        if changed is None:
+            return
+        changed.write.mode("overwrite").parquet(self._at("filters", version))
+        keys.write.mode("overwrite").parquet(self._at("gone", version))
+        self._commit("delete")
+
+    def compact(self) -> None:
+        """Merge all runs into one, without what was deleted."""
+        if self.runs:
+            self._write(self.refs, "compact")
+
+    def dropped(self, batch: int | None = None) -> DataFrame:
+        """k1, k2, places: the dropped places of every document (of a batch) that has any."""
+        one = [run for run in self.runs if run.version == batch]
+        if one:
+            own = known = self.run(one[0]).where("place >= 0")
+            earlier = [run for run in self.runs if run.version < batch]
+            lines = cut(own.select(*LINE).distinct()) if earlier else None
+            for run in earlier:
+                known = known.unionByName(self._hits(lines, run))
+        else:
+            known = self.refs
+            own = known if batch is None else known.where(F.col("batch") == batch)
+        own, known = (x.where("place >= 0").withColumn("who", _owner()) for x in (own, known))
+        owners = known.groupBy(*LINE).agg(F.min("who").alias("owner"))
+        return own.join(owners, LINE).where("who <> owner").groupBy(*KEYS).agg(F.collect_list("place").alias("places"))
+
+    def texts(self, documents: DataFrame, batch: int | None = None) -> DataFrame:
+        """doc_id, text without dropped lines, n_lines (not blank), n_dropped, for documents of the index.
+
+        With ``batch``, the documents are those of one batch, and of earlier ones only possible hits are read.
+        """
         rows = _documents(documents)
-        out = self.dropped().select(join_id(F.col("doc_id")).alias("id"), "content", "places")
-        joined = rows.join(out, ["content", "id"], "left").dropDuplicates(["content", "id"]).select("doc_id", "text", "places")
-        return map_batches(joined, _strip, "doc_id long, text string, n_lines long, n_dropped long")
-
+        if self.runs:
+            joined = rows.join(self.dropped(batch), KEYS, "left").dropDuplicates(KEYS)
+        else:
+            joined = rows.dropDuplicates(KEYS).withColumn("places", F.lit(None).cast("array<int>"))
+        lines = joined.select("doc_id", "text", F.coalesce("places", F.array().cast("array<int>")).alias("places"), F.split("text", "\n").alias("lines"))
+        kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("places"))
+        text = F.when(F.size("places") == 0, F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n"))
+        told = F.filter("lines", lambda line: line.rlike(r"[^ \t\r]"))
+        long = lambda c: F.coalesce(c.cast("long"), F.lit(0).cast("long"))
+        return lines.select("doc_id", text.alias("text"), long(F.when(F.col("text").isNotNull(), F.size(told))).alias("n_lines"), long(F.size("places")).alias("n_dropped"))
 
-def _blank(line: str) -> bool:
-    return not line.strip(" \t\r")
 
+def dedup_lines(documents: DataFrame, path: str, config: LineConfig = LineConfig()) -> DataFrame:
+    """Insert all documents in a new index below ``path`` and return their texts without repeated lines."""
+    index = LineIndex(documents.sparkSession, path, config)
+    return index.texts(documents, index.insert(documents))
 
-def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts, lines, dropped = [], [], []
-        for text, places in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            if text is None:
-                texts.append(None)
-                lines.append(0)
-                dropped.append(0)
-                continue
-            parts, away, seen, kept = text.split("\n"), set(places or ()), set(), []
-            blank = 0
-            for place, line in enumerate(parts):
-                if _blank(line):
-                    blank += 1
-                elif place in away or line in seen:
-                    seen.add(line)
-                    continue
-                seen.add(line)
-                kept.append(line)
-            texts.append("\n".join(kept) if len(kept) < len(parts) else text)
-            lines.append(len(parts) - blank)
-            dropped.append(len(parts) - len(kept))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())],
-            ["doc_id", "text", "n_lines", "n_dropped"],
-        )
 
+def dedup_in_parts(documents: DataFrame, path: str, config: LineConfig = LineConfig()) -> DataFrame:
+    """The same for integer ids, as the index grows: in three parts by doc_id, of which the last is taken out and inserted again.
 
-def dedup_lines(documents: DataFrame, path: str, config: LineConfig = LineConfig()) -> DataFrame:
-    """Insert all documents in a new index below ``path`` and return their texts without repeated lines."""
-    index = LineIndex.create(documents, path, config)
-    index.insert(documents)
-    return index.texts(documents)
+    The parts follow each other in the order of ids, so every line has the same owner as if all came at once.
+    """
+    low, high = documents.agg(F.min("doc_id"), F.max("doc_id")).first()
+    low, high = (0, 0) if low is None else (low, high)
+    half, most = low + (high - low) // 2, low + 3 * (high - low) // 4
+    of = F.col("doc_id")
+    parts = [documents.where(of < half), documents.where((of >= half) & (of < most)), documents.where((of >= most) | of.isNull())]
+    index = LineIndex(documents.sparkSession, path, config)
+    batches = [index.insert(part) for part in parts]
+    index.delete(parts[-1])
+    batches[-1] = index.insert(parts[-1])
+    return reduce(DataFrame.unionByName, (index.texts(part, batch) for part, batch in zip(parts, batches, strict=True)))
 
 
 def line_sql(documents: str = "documents") -> str:
-    """DuckDB SQL of :func:`dedup_lines`."""
+    """DuckDB SQL of :func:`dedup_lines` and :func:`dedup_in_parts`."""
     return f"""
 WITH docs AS (SELECT DISTINCT doc_id, text FROM {documents}),
 lines AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS place FROM docs),

@@ -30,7 +30,7 @@ def sharding_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = os.path.join(shared_dir(spark), f"lines-{uuid.uuid4().hex}")
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), path)
+    return line_dedup.dedup_in_parts(table(spark, sf_dir, "documents"), path)
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
