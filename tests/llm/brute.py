@@ -80,7 +80,7 @@ def leaks(docs, items, config=LeakConfig()):
     for item_id, text in items:
         item = hashes(text)
         size = len(item)
-        if size < config.min_item_tokens:
+        if size == 0:
             continue
         width = min(size, config.window)
         for doc_id, body in docs:

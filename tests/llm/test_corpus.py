@@ -90,7 +90,7 @@ def test_edges_keep_columns(edge, labels, items):
     assert len(groups) == len(set(ROWS)) and sum(r.n_rows for r in groups) == len(ROWS)
     assert {r.doc_id for r in groups if r.group_id == 1} == {1, 2} and [r.doc_id for r in groups if r.group_id == 1 and r.keep] == [1]
     found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(edge, items).collect()}
-    assert found == {(1, 1), (2, 1), (5, None)}
+    assert found == {(1, 1), (2, 1), (5, None), (1, 4), (2, 4), (8, 4)}
     hits = license_scan.scan_licenses(edge).collect()
     assert [(r.doc_id, r.family, r.start, r.confirmed) for r in hits] == [(8, "mit", 19, True)]
 
@@ -271,7 +271,7 @@ def test_leaks_tolerate_substitutions(spark):
             part[at] = "other"
         docs.append((i, " ".join([*rng.choice(words, 50), *part, *rng.choice(words, 50)])))
     schema = "doc_id long, text string"
-    found = decontaminate.leaks(spark.createDataFrame(docs, schema), spark.createDataFrame(items, "item_id long, text string"), decontaminate.LeakConfig(part_bytes=2000)).collect()
+    found = decontaminate.leaks(spark.createDataFrame(docs, schema), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id) for r in found} == {(i, i) for i, _ in items}
 
 
@@ -290,8 +290,50 @@ def test_leaks_find_every_allowed_substitution():
         assert list(zip(row.tolist(), item.tolist())) == [(i, i) for i in range(60)], (size, changed)
 
 
+def _mixed_leaks():
+    """Documents that hold items of 1 to 70 words, some words changed, beside repeated words, and what leaks by brute force."""
+    rng, words = np.random.default_rng(8), [f"w{i}" for i in range(4000)]
+    items = [(k, " ".join(rng.choice(words, size))) for k, size in enumerate([1, 2, 3, 3, 4, 4, 5, 6, 7, 7, 12, 20, 29, 30, 31, 45, 70] * 2)]
+    items += [(90, "the"), (91, "the the the"), (92, "go the go the"), (93, ""), (94, "… !")]
+    docs = [(-1, ""), (-2, None), (-3, "the " * 300), (-4, "the go " * 40), (-5, "a clean text of other words")]
+    for k, text in items[:34]:
+        part = text.split()
+        for lost in (0.0, 0.2, 0.4, 0.5):
+            own = list(part)
+            for at in rng.choice(len(own), int(lost * len(own)), replace=False):
+                own[at] = f"x{at}"
+            docs.append((1000 * k + int(100 * lost), " ".join([*rng.choice(words, 12), *own, *rng.choice(words, 3)])))
+    docs.append((7, " ".join(items[12][1].split()[8:])))
+    docs += docs[:12]
+    return docs, items, brute.leaks(docs, items)
+
+
+def test_leaks_by_broadcast_and_by_join_equal_every_alignment(spark):
+    docs, items, want = _mixed_leaks()
+    rows, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*items, items[3]], "item_id long, text string")
+    assert {i for _, i in want} >= set(range(34)) | {90, 91, 92}
+    told = []
+    for limit in (4 << 20, 0):
+        config = decontaminate.LeakConfig(broadcast_bytes=limit)
+        found = decontaminate.leaks(rows, bench, config).collect()
+        assert {(r.doc_id, r.item_id) for r in found} == want
+        told.append(sorted(tuple(r) for r in found))
+        kept = decontaminate.drop_leaks(rows.withColumns({"t1": F.lit("own"), "item": F.lit(0)}), bench, config)
+        assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, _ in docs if d not in {d for d, _ in want}) and kept.columns == ["doc_id", "text", "t1", "item"]
+    assert told[0] == told[1]
+    none = decontaminate.LeakConfig(broadcast_bytes=-1)
+    assert decontaminate.leaks(rows, bench.limit(0), none).count() == 0 and decontaminate.drop_leaks(rows, bench.limit(0), none).count() == len(docs)
+    assert decontaminate.leaks(rows.limit(0), bench, none).count() == 0
+
+
+def test_ids_of_any_type_leak(spark):
+    rows, bench = spark.createDataFrame([("a", "one two three four five")], "doc_id string, text string"), spark.createDataFrame([("b", "two three four")], "item_id string, text string")
+    for limit in (4 << 20, 0):
+        assert [tuple(r) for r in decontaminate.leaks(rows, bench, decontaminate.LeakConfig(broadcast_bytes=limit)).collect()] == [("a", "b", 3, 3)]
+
+
 def test_seeds_hit_whatever_agrees():
-    for width in range(5, 15):
+    for width in range(1, 15):
         for overlap in (0.3, 0.6, 0.9):
             need = int(np.ceil(overlap * width))
             masks = [sum(1 << p for p in s) << k for s in decontaminate.seeds(width, need) for k in range(width - s[-1])]

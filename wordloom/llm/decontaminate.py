@@ -9,20 +9,24 @@ looked up in it.  Each hit names an alignment of an item with a document, which
 is verified token by token: an item is leaked where some window of
 ``min(item tokens, window)`` aligned tokens agrees in at least ``overlap``.
 
-The index is broadcast in parts made from at most ``part_bytes`` of benchmark
-text.  A larger benchmark takes more parts, each of them one more pass over the
-documents, so memory stays bounded and nothing is left out.
-
-Defined results: items of fewer than ``min_item_tokens`` words are no evidence
-and are not searched.  Null or empty texts match nothing.  Repeated items
-count once; repeated document rows repeat their matches.  Null ids are carried.
-Other columns are untouched, whatever their names.
+The join of document windows with the index has two forms of equal results.  A
+benchmark of at most ``broadcast_bytes`` of text makes an index that every task
+holds.  A larger one stays a table: the windows of the documents that pass a
+sieve of fixed size are shuffled and joined with it by hash, each with the
+tokens around it, so that a joined pair is verified where it is; the documents
+are still read once, and no part of the benchmark passes through the driver.
+
+Defined results: every item with a word is searched; one of one or two words is
+found where they stand as they are.  Null or empty texts match nothing.
+Repeated items count once; repeated document rows repeat their matches.  Null
+ids are carried; doc_id and item_id may have any type.  Other columns are
+untouched, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations
@@ -32,9 +36,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..runtime import map_batches
 from . import kernels as K
+from .tables import cut, fingerprint, spare
 
 #: Most positions that a seed compares, and most seeds for one item length.
 WEIGHT, SEEDS = 6, 10
@@ -44,14 +51,20 @@ HITS, COMPARED = 1 << 21, 1 << 21
 
 @dataclass(frozen=True)
 class LeakConfig:
-    min_item_tokens: int = 5
+    """``broadcast_bytes``: benchmark text whose index is broadcast; ``broadcast_leaks``: texts to drop that are."""
+
     window: int = 30
     overlap: float = 0.6
-    part_bytes: int = 4 << 20
+    broadcast_bytes: int = 4 << 20
+    broadcast_leaks: int = 1 << 20
+
+    def need(self, width: int) -> int:
+        """Tokens of a window that must agree."""
+        return max(1, ceil(self.overlap * width - 1e-9))
 
     def seeds(self, size: int) -> tuple[tuple[int, ...], ...]:
         width = min(size, self.window)
-        return seeds(width, max(1, ceil(self.overlap * width - 1e-9)))
+        return seeds(width, self.need(width))
 
 
 @lru_cache(maxsize=1024)
@@ -90,7 +103,7 @@ class SeedIndex:
         self.config = config
         tok = K.tokenize(pa.array([t for _, t in items], pa.string()))
         size = np.diff(tok.doc)
-        used = size >= config.min_item_tokens
+        used = size > 0
         self.ids = [i for i, _ in items]
         self.tokens, self.first, self.size = tok.hash, tok.doc[:-1], size
         owner = np.repeat(np.arange(len(items)), size)
@@ -190,59 +203,160 @@ def _runs(size: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def _parts(benchmark: DataFrame, config: LeakConfig) -> Iterator[SeedIndex]:
-    """Indexes over the whole benchmark, each from about ``part_bytes`` of text."""
-    items = benchmark.where("text IS NOT NULL").select("item_id", "text").distinct()
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = -(-total // config.part_bytes)
-    for part in range(parts):
-        chosen = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part) if parts > 1 else items
-        rows = sorted(((r[0], r[1]) for r in chosen.collect()), key=lambda r: (r[0] is None, r))
-        if rows:
-            yield SeedIndex(rows, config)
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.where("text IS NOT NULL").select("item_id", "text").distinct()
+
+
+def _index(items: DataFrame, config: LeakConfig) -> SeedIndex | None:
+    """The index of a benchmark within the bound; None beyond it."""
+    if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > config.broadcast_bytes:
+        return None
+    rows = sorted(((r[0], r[1]) for r in items.collect()), key=lambda r: (r[0] is None, r))
+    return SeedIndex(rows, config)
+
+
+#: Bits of a hash by which the sieve knows it: 2^18 words of 64 bits.
+_SIEVE = 24
+_WINDOWS = 1 << 15
+
+
+def _around(tok: K.Tokens, at: np.ndarray, reach: int, outside: int) -> np.ndarray:
+    """The tokens from ``reach`` before to ``reach`` behind some tokens, of the same row."""
+    row = np.searchsorted(tok.doc, at, side="right") - 1
+    place = at[:, None] + np.arange(-reach, reach + 1)
+    inside = (place >= tok.doc[row][:, None]) & (place < tok.doc[row + 1][:, None])
+    return np.where(inside, tok.hash[np.clip(place, 0, len(tok.hash) - 1)], np.uint64(outside))
+
+
+def _hits(tok: K.Tokens, used: list[tuple[int, ...]], allowed: Callable[[int, np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, first tokens) of the masked windows that don't cross a row and are allowed; seeds differ in their hashes."""
+    row = np.repeat(np.arange(len(tok.doc) - 1), np.diff(tok.doc))
+    for number, seed in enumerate(used):
+        h = K.mix(masked(tok.hash, seed) + np.uint64(number + 1))
+        at = np.flatnonzero(row[: len(h)] == row[seed[-1] :]) if len(h) else np.zeros(0, np.int64)
+        at = at[allowed(number, h[at], row[at])]
+        for i in range(0, len(at), _WINDOWS):
+            yield h[at[i : i + _WINDOWS]], at[i : i + _WINDOWS]
+
+
+def _joined(documents: DataFrame, items: DataFrame, config: LeakConfig) -> DataFrame:
+    """t1, t2 (digests of a text), item_id, agreeing, compared: the leaks of all texts by a shuffled hash join."""
+    reach = config.window - 1
+    items = cut(items.withColumn("item", F.monotonically_increasing_id()))
+
+    def widths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.diff(K.tokenize(batch.column(0)).doc)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.minimum(size[size > 0], config.window)), pa.int64())], ["width"])
+
+    found = sorted(r.width for r in map_batches(items.select("text"), widths, "width long").distinct().collect())
+    used = sorted({seed for width in found for seed in config.seeds(width)})
+    by_width = np.zeros((len(used), config.window + 1), dtype=bool)
+    for width in found:
+        by_width[[used.index(seed) for seed in config.seeds(width)], width] = True
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tok = K.tokenize(batch.column(1))
+            width = np.minimum(np.diff(tok.doc), config.window)
+            for h, at in _hits(tok, used, lambda number, h, row: by_width[number, width[row]]):
+                row = np.searchsorted(tok.doc, at, side="right") - 1
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h.view(np.int64)), batch.column(0).take(pa.array(row)), pa.array(width[row], pa.int32()), _binary(_around(tok, at, reach, 1))],
+                    ["h", "item", "width", "want"],
+                )
+
+    keys = cut(map_batches(items.select("item", "text"), index, "h long, item long, width int, want binary"))
+    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 40) & 63 AS int))")
+    words = keys.groupBy(F.shiftrightunsigned("h", 46).alias("at")).agg(F.bit_or(bit).alias("bits")).collect()
+    sieve = np.zeros(1 << (_SIEVE - 6), dtype=np.int64)
+    for r in words:
+        sieve[r.at] = r.bits
+    sent = documents.sparkSession.sparkContext.broadcast(np.unpackbits(sieve.view(np.uint8), bitorder="little"))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passed = sent.value.astype(bool)
+        for batch in batches:
+            for a, b in K.slices(batch.column(2)):
+                tok = K.tokenize(batch.column(2).slice(a, b - a))
+                for h, at in _hits(tok, used, lambda number, h, row: passed[h >> np.uint64(64 - _SIEVE)]):
+                    row = pa.array(np.searchsorted(tok.doc, at, side="right") - 1 + a)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(h.view(np.int64)), batch.column(0).take(row), batch.column(1).take(row), _binary(_around(tok, at, reach, 0))], ["h", "t1", "t2", "have"]
+                    )
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        need = np.array([config.need(w) for w in range(config.window + 1)])
+        for batch in batches:
+            want, have = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, 2 * reach + 1) for c in (4, 5))
+            width = batch.column(3).to_numpy()
+            best = np.zeros(len(width), np.int64)
+            total = lambda x: np.concatenate((np.zeros((len(x), 1), np.int64), np.cumsum(x, axis=1)), axis=1)
+            same, own = total(want == have), total(want != 1)
+            for w in np.unique(width):
+                of = np.flatnonzero(width == w)
+                whole = own[of, w:] - own[of, :-w] == w
+                best[of] = np.where(whole, same[of, w:] - same[of, :-w], 0).max(axis=1)
+            good = pa.array(best >= need[width])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(best, pa.int32()), batch.column(3)], ["t1", "t2", "item", "agreeing", "compared"]).filter(good)
+
+    texts = map_batches(_digested(documents.select("text")).select("t1", "t2", "text"), windows, "h long, t1 long, t2 long, have binary")
+    pairs = map_batches(texts.join(keys, "h").select("t1", "t2", "item", "width", "want", "have"), verify, "t1 long, t2 long, item long, agreeing int, compared int")
+    best = pairs.groupBy("t1", "t2", "item", "compared").agg(F.max("agreeing").alias("agreeing"))
+    return best.join(items.select("item", "item_id"), "item").select("t1", "t2", "item_id", "agreeing", "compared")
+
+
+def _binary(values: np.ndarray) -> pa.Array:
+    return pa.array([row.tobytes() for row in values], pa.binary())
+
+
+def _digested(documents: DataFrame, *names: str) -> DataFrame:
+    first, second = names or ("t1", "t2")
+    return documents.withColumns({first: fingerprint("text"), second: fingerprint(F.lit(1), "text")})
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, config: LeakConfig = LeakConfig()) -> DataFrame:
     """doc_id, item_id, agreeing, compared: every document row with every item that it leaks."""
-    spark = documents.sparkSession
-    rows = documents.select("doc_id", "text")
-    schema = "doc_id long, item_id long, agreeing int, compared int"
-    out = None
-    for index in _parts(benchmark, config):
-        sent = spark.sparkContext.broadcast(index)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for a, b in K.slices(batch.column(1)):
-                    row, item, same, of = sent.value.find(K.tokenize(batch.column(1).slice(a, b - a)))
-                    if len(row):
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                batch.column(0).take(pa.array(row + a)),
-                                pa.array([sent.value.ids[i] for i in item], pa.int64()),
-                                pa.array(same, pa.int32()),
-                                pa.array(of, pa.int32()),
-                            ],
-                            ["doc_id", "item_id", "agreeing", "compared"],
-                        )
-
-        part = map_batches(rows, run, schema)
-        out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], schema) if out is None else out
+    rows, items = documents.select("doc_id", "text"), _items(benchmark)
+    index = _index(items, config)
+    if index is None:
+        found = _digested(rows).join(_joined(rows, items, config), ["t1", "t2"])
+        return found.select("doc_id", "item_id", "agreeing", "compared")
+    kinds = {"doc_id": documents.schema["doc_id"].dataType, "item_id": benchmark.schema["item_id"].dataType}
+    schema = StructType([*(StructField(name, kind) for name, kind in kinds.items()), StructField("agreeing", IntegerType()), StructField("compared", IntegerType())])
+    kind = to_arrow_type(kinds["item_id"])
+    sent = documents.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in K.slices(batch.column(1)):
+                row, item, same, of = sent.value.find(K.tokenize(batch.column(1).slice(a, b - a)))
+                if len(row):
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(row + a)), pa.array([sent.value.ids[i] for i in item], kind), pa.array(same, pa.int32()), pa.array(of, pa.int32())],
+                        schema.names,
+                    )
+
+    return map_batches(rows, run, schema)
 
 
 def drop_leaks(documents: DataFrame, benchmark: DataFrame, config: LeakConfig = LeakConfig()) -> DataFrame:
-    """The documents that leak no benchmark item, with the columns they came with; no shuffle."""
+    """The documents that leak no benchmark item, with the columns they came with; no shuffle of them while the leaks are few."""
+    items = _items(benchmark)
+    index = _index(items, config)
+    if index is None:
+        names = spare(documents, "t1"), spare(documents, "t2")
+        gone = cut(_joined(documents, items, config).select(F.col("t1").alias(names[0]), F.col("t2").alias(names[1])).distinct())
+        few = gone.count() <= config.broadcast_leaks
+        return _digested(documents, *names).join(F.broadcast(gone) if few else gone, list(names), "left_anti").select(*(F.col(f"`{c}`") for c in documents.columns))
     at = documents.columns.index("text")
-    for index in _parts(benchmark, config):
-        sent = documents.sparkSession.sparkContext.broadcast(index)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                clean = np.ones(batch.num_rows, dtype=bool)
-                for a, b in K.slices(batch.column(at)):
-                    clean[a + sent.value.find(K.tokenize(batch.column(at).slice(a, b - a)))[0]] = False
-                yield batch.filter(pa.array(clean))
-
-        documents = map_batches(documents, run, documents.schema)
-    return documents
+    sent = documents.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = np.ones(batch.num_rows, dtype=bool)
+            for a, b in K.slices(batch.column(at)):
+                clean[a + sent.value.find(K.tokenize(batch.column(at).slice(a, b - a)))[0]] = False
+            yield batch.filter(pa.array(clean))
+
+    return map_batches(documents, run, documents.schema)
