@@ -29,6 +29,11 @@ def punctuation_ranges() -> tuple[tuple[int, int], ...]:
     return tuple(out)
 
 
+def is_single(c: str) -> bool:
+    """Whether a character stands alone: a mark or an ideograph of the basic plane."""
+    return any(a <= ord(c) <= b for a, b in (*punctuation_ranges(), *IDEOGRAPH_RANGES))
+
+
 def class_body(ranges: tuple[tuple[int, int], ...], braces: bool = False) -> str:
     r"""Ranges as the inside of a regex class: \uXXXX for Python and Java, \x{XXXX} with ``braces``."""
     one = (lambda c: f"\\x{{{c:04x}}}") if braces else (lambda c: f"\\u{c:04x}")

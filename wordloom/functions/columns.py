@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import ship
@@ -27,6 +27,11 @@ def _check_limits(max_tokens: int, pad_to: int | None) -> None:
         raise ValueError("pad_to must not exceed max_tokens")
 
 
+def _check_chunks(tokens_per_input: int, stride: int) -> None:
+    if tokens_per_input < 3 or not 0 <= stride <= tokens_per_input - 3:
+        raise ValueError("tokens_per_input must be at least 3 and stride within 0 and tokens_per_input - 3")
+
+
 def _lists(rows: list) -> pa.ListArray:
     """list<int64> of Python lists and None, through one flat buffer."""
     size = np.fromiter((0 if r is None else len(r) for r in rows), dtype=np.int64, count=len(rows))
@@ -93,8 +98,7 @@ def chunks(text: Column | str, model: TokenizerModel, tokens_per_input: int, str
 
     ``offset_unit`` is ``codepoint`` or ``utf16``.
     """
-    if tokens_per_input < 3 or not 0 <= stride <= tokens_per_input - 3:
-        raise ValueError("tokens_per_input must be at least 3 and stride within 0 and tokens_per_input - 3")
+    _check_chunks(tokens_per_input, stride)
     if offset_unit not in ("codepoint", "utf16"):
         raise ValueError("offset_unit must be codepoint or utf16")
     fill = model.pad[1]
@@ -121,6 +125,17 @@ def chunks(text: Column | str, model: TokenizerModel, tokens_per_input: int, str
     return _udf(model, text, CHUNKS, each, lambda rows: pa.array(rows, kind))
 
 
+def passages(text: Column | str, model: TokenizerModel, tokens_per_input: int, stride: int = 0) -> Column:
+    """array<string>: the part of the text that each chunk stands for, from its offset to the next one's."""
+    _check_chunks(tokens_per_input, stride)
+
+    def each(kernel, text: str) -> list[str]:
+        prepared = kernel.prepare(text)
+        return [prepared[offset:following] for offset, following, _, _ in kernel.chunks(text, tokens_per_input, stride)]
+
+    return _udf(model, text, "array<string>", each, lambda rows: pa.array(rows, pa.list_(pa.string())))
+
+
 def segments(text: Column | str, model: TokenizerModel) -> Column:
     """array<struct<segment:string,start:int>>: what the pre-tokenizer yields."""
     kind = pa.list_(pa.struct([("segment", pa.string()), ("start", pa.int32())]))
@@ -133,9 +148,19 @@ def word_pieces(word: Column | str, model: TokenizerModel) -> Column:
     return _udf(model, word, "array<bigint>", lambda k, v: k.pieces(v), _lists)
 
 
-def decode(ids: Column | str, model: TokenizerModel) -> Column:
-    """Text of an id list."""
-    return _udf(model, ids, "string", lambda k, v: k.decode(v), lambda rows: pa.array(rows, pa.string()))
+def decode(ids: Column | str, model: TokenizerModel, on_unknown: str = "null") -> Column:
+    """Text of an id list.  One whose first id is unknown gives null, or fails with ``on_unknown="raise"``; later unknown ids are left out."""
+    if on_unknown not in ("null", "raise"):
+        raise ValueError("on_unknown must be null or raise")
+    each = lambda k, v: k.decode(v) if on_unknown == "raise" or k.known(v) else None
+    return _udf(model, ids, "string", each, lambda rows: pa.array(rows, pa.string()))
+
+
+def lookup(ids: DataFrame, model: TokenizerModel, id: str = "id") -> DataFrame:
+    """``ids`` with the token of each id, continuations with their mark; null where the vocabulary has none."""
+    known = model.vocab(ids.sparkSession)
+    token = F.concat(F.when(F.col("is_suffix"), model.decoder_prefix).otherwise(""), "token")
+    return ids.join(F.broadcast(known.select(F.col("id").alias(id), token.alias("token"))), id, "left")
 
 
 def _chars(name: str, value: Column | str, each: Callable[[str], str]) -> Column:

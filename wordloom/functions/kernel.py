@@ -205,13 +205,17 @@ class Kernel:
             self._inverse = tuple(made)
         return self._inverse
 
+    def known(self, ids: list[int]) -> bool:
+        """Whether the first of some ids has a token; an empty list begins with nothing unknown."""
+        return not len(ids) or any(ids[0] in table for table in self._names())
+
     def decode(self, ids: list[int]) -> str:
         """Text of ids.  An unknown first id is an error; unknown later ones are left out."""
         if not len(ids):
             return ""
         prefixes, suffixes = self._names()
         first, clean = ids[0], self.model.cleanup
-        if first not in prefixes and first not in suffixes:
+        if not self.known(ids):
             raise KeyError(f"the vocabulary has no token {first}")
         out = [prefixes[first] if first in prefixes else self.model.decoder_prefix + suffixes[first]]
         for i in ids[1:]:

@@ -8,7 +8,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import columns
 from ..runtime import ship
+from ..sources.vocabulary import TokenizerModel
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -45,8 +47,8 @@ def top_k_each(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "v
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    columns = lambda rows, id, v: rows.select(F.col(id).alias("id"), F.col(v).cast("array<double>").alias("v")).where("NOT exists(v, x -> x IS NULL)")
-    left, right = columns(vectors, key, vector), columns(queries, "query_id", "query")
+    numbers = lambda rows, id, v: rows.select(F.col(id).alias("id"), F.col(v).cast("array<double>").alias("v")).where("NOT exists(v, x -> x IS NULL)")
+    left, right = numbers(vectors, key, vector), numbers(queries, "query_id", "query")
     lefts, rights = (max(1, -(-rows.count() // block)) for rows in (left, right))
     spot = lambda n: F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")
     copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -86,11 +88,20 @@ def _best(vectors: pa.Table, queries: pa.Table, k: int, key: str) -> pa.Table:
     return pa.table({"query_id": queries["id"].take(pa.array(row)), key: vectors["id"].take(pa.array(at)), "score": np.concatenate(scores)})
 
 
-def passages(chunks: DataFrame, texts: DataFrame) -> DataFrame:
-    """key, chunk, passage: the source text of every chunk of (key, text), from its offset to the next one's."""
-    end = F.coalesce(F.col("next_offset"), F.length("text"))
-    rows = chunks.select("key", "chunk", "offset", "next_offset").join(texts.select("key", "text"), "key")
-    return rows.select("key", "chunk", F.substring(F.col("text"), F.col("offset") + 1, end - F.col("offset")).alias("passage"))
+def passages(texts: DataFrame, model: TokenizerModel, tokens_per_input: int, stride: int = 0) -> DataFrame:
+    """key, chunk, passage: the source text of every chunk of (key, text), from its offset to the next one's.
+
+    Passages are cut where the text is, so keys may be null or repeated and nothing is joined.  They come from the text in
+    the model's normal form, to which offsets refer.
+    """
+    cut = columns.passages("text", model, tokens_per_input, stride)
+    return texts.select("key", F.posexplode(cut).alias("chunk", "passage"))
+
+
+def encode_query(text: Column | str, model: TokenizerModel, prefix: str = "", max_tokens: int = 512, pad_to: int | None = 512) -> Column:
+    """A query as the encoder wants it: the model's prompt before it, padded.  A null query gives null fields."""
+    text = F.col(text) if isinstance(text, str) else text
+    return columns.encode(F.concat(F.lit(prefix), text), model, max_tokens, pad_to)
 
 
 def pending(texts: DataFrame, done: DataFrame) -> DataFrame:

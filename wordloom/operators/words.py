@@ -2,11 +2,13 @@
 
 It suits whole texts and statistics, where the same words come up again and
 again; truncated encoding and chunking use the row-wise functions, which stop
-at their limit.  It segments as models without added tokens do.
+at their limit.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,36 +21,49 @@ _MARKS = r"[\p{P}$+<=>^`|~\u1b7d\u1b7e\u2e50-\u2e5d&&[\u0000-\uffff]]"
 _SINGLE = _MARKS + chars.class_body(chars.IDEOGRAPH_RANGES)
 
 
-def segment_array(text: Column | str) -> Column:
-    """array<string> of marks, ideographs and words, by the built-in regex engine."""
-    white = chars.class_body(chars.WHITESPACE_RANGES)
-    return F.regexp_extract_all(F.col(text) if isinstance(text, str) else text, F.lit(f"[{_SINGLE}]|[^{_SINGLE}{white}]+"), F.lit(0))
+def segment_array(text: Column | str, model: TokenizerModel | None = None) -> Column:
+    """array<string> of added tokens of ``model``, marks, ideographs and words, by the built-in regex engine.
+
+    The text is taken in the model's normal form.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    other = f"[^{_SINGLE}{chars.class_body(chars.WHITESPACE_RANGES)}]"
+    added = [t for t in model.added if t.content] if model else []
+    if model and model.form != "NFD":
+        text = columns.normalize_unicode(text, model.form)
+    quoted = "|".join(f"(?iu:{re.escape(t.content)})" if t.normalized else re.escape(t.content) for t in added)
+    inside = any(not chars.is_single(t.content[0]) for t in added)
+    word = f"(?:(?!{quoted}){other})+" if inside else f"{other}+"
+    return F.regexp_extract_all(text, F.lit(f"{quoted}{'|' if quoted else ''}[{_SINGLE}]|{word}"), F.lit(0))
 
 
-def word_counts(texts: DataFrame, *groups: str) -> DataFrame:
+def word_counts(texts: DataFrame, *groups: str, model: TokenizerModel | None = None) -> DataFrame:
     """groups…, word, n: how often each segment occurs; combined map-side before it is shuffled."""
-    return texts.select(*groups, F.explode(segment_array("text")).alias("word")).groupBy(*groups, "word").agg(F.count("*").alias("n"))
+    return texts.select(*groups, F.explode(segment_array("text", model)).alias("word")).groupBy(*groups, "word").agg(F.count("*").alias("n"))
 
 
 def tokenized_words(texts: DataFrame, model: TokenizerModel) -> DataFrame:
     """word, ids: every distinct segment with its pieces."""
-    distinct = texts.select(F.explode(segment_array("text")).alias("word")).distinct()
+    distinct = texts.select(F.explode(segment_array("text", model)).alias("word")).distinct()
     return distinct.withColumn("ids", columns.word_pieces("word", model))
 
 
 def token_statistics(texts: DataFrame, model: TokenizerModel, group: str) -> DataFrame:
     """group, n_tokens, n_unknown: pieces of all texts (without CLS and SEP) and unknown words among them."""
-    counted = word_counts(texts, group).withColumn("ids", columns.word_pieces("word", model))
+    counted = word_counts(texts, group, model=model).withColumn("ids", columns.word_pieces("word", model))
     unknown = F.size(F.filter("ids", lambda i: i == model.unk[1]))
     return counted.groupBy(group).agg(F.sum(F.size("ids") * F.col("n")).alias("n_tokens"), F.sum(unknown * F.col("n")).alias("n_unknown"))
 
 
 def encode_memoised(texts: DataFrame, model: TokenizerModel) -> DataFrame:
-    """key, input_ids of whole texts: equal to the row-wise form, each distinct word tokenized once."""
-    words = texts.select("key", F.posexplode(segment_array("text")).alias("pos", "word"))
-    known = words.select("word").distinct().withColumn("ids", columns.word_pieces("word", model))
-    pieces = words.join(known, "word").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("found"))
-    inner = F.coalesce(F.flatten(F.transform("found", lambda f: f["ids"])), F.array().cast("array<bigint>"))
-    whole = texts.where("text IS NOT NULL").select("key").join(pieces, "key", "left")
+    """key, input_ids of whole texts: equal to the row-wise form, each distinct word tokenized once.
+
+    Keys may be null or repeated: words find their way back by the row.  A null text has no row.
+    """
+    rows = texts.where("text IS NOT NULL").select(F.monotonically_increasing_id().alias("row"), "key", "text")
+    words = rows.select("row", "key", F.posexplode_outer(segment_array("text", model)).alias("pos", "word"))
+    known = tokenized_words(texts, model)
+    pieces = words.join(known, "word", "left").groupBy("row").agg(F.first("key").alias("key"), F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("found"))
+    inner = F.flatten(F.transform("found", lambda f: F.coalesce(f["ids"], F.array().cast("array<bigint>"))))
     edge = lambda t: F.array(F.lit(t[1]).cast("bigint"))
-    return whole.select("key", F.concat(edge(model.cls), inner, edge(model.sep)).alias("input_ids"))
+    return pieces.select("key", F.concat(edge(model.cls), inner, edge(model.sep)).alias("input_ids"))

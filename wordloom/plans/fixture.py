@@ -6,6 +6,7 @@ fallbacks are taken, and lacks some digits and marks, so that unknown words occu
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import lru_cache
 
 from ..sources.vocabulary import TokenizerModel, from_config
@@ -41,6 +42,13 @@ def _config() -> dict:
     }
 
 
-@lru_cache(maxsize=1)
-def model() -> TokenizerModel:
-    return from_config(_config())
+@lru_cache(maxsize=4)
+def model(form: str = "NFD") -> TokenizerModel:
+    """The model; with another form it normalises whole texts first."""
+    return replace(from_config(_config()), form=form)
+
+
+def vocab_lines() -> list[str]:
+    """The same vocabulary as the lines of a vocab.txt."""
+    known = _config()["model"]["vocab"]
+    return sorted(known, key=known.get)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -13,9 +13,11 @@ from ..operators import search as S
 from ..operators import words as W
 from ..runtime import spread
 from ..sources import corpus
+from ..sources.vocabulary import load_vocab_txt
 from ..streaming import streams
-from .fixture import model
+from .fixture import model, vocab_lines
 
+PROMPT = "represent this sentence for searching relevant passages: "
 SIZE, STRIDE, BATCH = 128, 25, 32
 
 
@@ -48,16 +50,9 @@ def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vocab_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    token = F.concat(F.when(F.col("is_suffix"), "##").otherwise(""), "token")
-    return model().vocab(spark).where("id BETWEEN 20 AND 59").select("id", token.alias("token"))
-
-
-def vocab_lookup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every id of the vocabulary and the ids beside it, which have no token."""
-    token = F.concat(F.when(F.col("is_suffix"), "##").otherwise(""), "token")
-    known = model().vocab(spark).select("id", token.alias("token"))
-    ids = known.agg(F.explode(F.sequence(F.lit(-1).cast("long"), F.max("id").cast("long") + 1)).alias("id"))
-    return ids.join(known, "id", "left")
+    ids = model().vocab(spark).agg(F.explode(F.sequence(F.lit(-1).cast("long"), F.max("id").cast("long") + 1)).alias("id"))
+    return C.lookup(ids, model())
 
 
 def pretokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,12 +96,7 @@ def encode_padded_128(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chat_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text")
-    return _counted(turns, ["conv_id", "turn"], C.token_ids("text", model(), 64))
-
-
-def chat_encode_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every turn as a whole, in contrast to chat_encode."""
+    """Every turn as a whole."""
     turns = spread(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text"))
     return _counted(turns, ["conv_id", "turn"], C.token_ids("text", model(), None))
 
@@ -132,14 +122,87 @@ def chunk_stride25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunk_columns(B.chunk_rows(_texts(spark, sf_dir), model(), SIZE, STRIDE))
 
 
+def chunk_27(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunk_columns(B.chunk_rows(_texts(spark, sf_dir), model(), 27))
+
+
+def chunk_333_stride77(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunk_columns(B.chunk_rows(_texts(spark, sf_dir), model(), 333, 77))
+
+
+def chunk_nfc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decomposed texts for a model that composes them: offsets are those of the composed text."""
+    texts = _texts(spark, sf_dir).withColumn("text", C.normalize_unicode("text", "NFD"))
+    return _chunk_columns(B.chunk_rows(texts, model("NFC"), SIZE))
+
+
+def chunk_nfkc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with ligatures and wide letters for a model that takes these apart."""
+    texts = _texts(spark, sf_dir).withColumn("text", F.translate(F.replace("text", F.lit("fi"), F.lit("\ufb01")), "aeR", "\uff41\uff45\uff32"))
+    return _chunk_columns(B.chunk_rows(texts, model("NFKC"), SIZE))
+
+
+def encode_vocab_txt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vocab.txt written to the shared folder and loaded from there; special tokens in texts are unknown to it."""
+    path = streams.work_folder(spark.range(1), "vocab")
+    lines = spark.createDataFrame([("\n".join(vocab_lines()),)], "value string")
+    lines.coalesce(1).write.text(path)
+    own = load_vocab_txt(path, True, spark)
+    return _counted(_marked(_documents(spark, sf_dir)), "doc_id", C.token_ids("text", own, None))
+
+
+def _marked(documents: DataFrame) -> DataFrame:
+    return documents.withColumn("text", F.concat(F.lit("doc[CLS]"), F.col("doc_id").cast("string"), F.lit("[SEP]end "), F.col("text")))
+
+
+def _twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document twice; the smallest id is null."""
+    texts = _texts(spark, sf_dir)
+    texts = texts.crossJoin(F.broadcast(texts.agg(F.min("key").alias("least")))).select(F.nullif("key", "least").alias("key"), "text")
+    return texts.unionByName(texts)
+
+
+def batches_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _batch_columns(B.batch_rows(B.chunk_rows(_twice(spark, sf_dir), model(), SIZE), BATCH, SIZE))
+
+
+def passages_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _passage_columns(S.passages(_twice(spark, sf_dir), model(), SIZE))
+
+
+def memoised_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counted(W.encode_memoised(_twice(spark, sf_dir), model()).withColumnRenamed("key", "doc_id"), "doc_id", F.col("input_ids"))
+
+
+def partition_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks from the batches of each task, and how many rows their batch has."""
+    rows = B.partition_batches(_texts(spark, sf_dir), model(), BATCH, SIZE)
+    size = F.count("*").over(Window.partitionBy("partition", "batch"))
+    long = [F.col(c).cast("long").alias(c) for c in ("chunk", "offset", "n_tokens")]
+    return rows.withColumn("rows_of_batch", size).where("chunk IS NOT NULL").select(F.col("key").alias("doc_id"), *long, "rows_of_batch")
+
+
+def prompt_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's texts as queries for an encoder that wants a prompt before them."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", S.encode_query("text", model(), PROMPT, 64, 64).alias("e"))
+    return items.select("item_id", *(_joined(F.col(f"e.{c}")).alias(c) for c in ("input_ids", "attention_mask", "token_type_ids")))
+
+
 def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = B.batch_rows(B.chunk_rows(_texts(spark, sf_dir), model(), SIZE), BATCH, SIZE)
+    return _batch_columns(rows)
+
+
+def _batch_columns(rows: DataFrame) -> DataFrame:
     long = [F.col(c).cast("long").alias(c) for c in ("batch_id", "row_in_batch", "offset", "n_tokens")]
     return rows.select(F.col("key").alias("doc_id"), *long)
 
 
 def packed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.packed(B.batch_rows(B.chunk_rows(_texts(spark, sf_dir), model(), SIZE), BATCH, SIZE))
+    """Batches in one row each; the places as texts key:offset:next, empty for rows that are not used."""
+    rows = B.packed(B.batch_rows(B.chunk_rows(_texts(spark, sf_dir), model(), SIZE), BATCH, SIZE))
+    place = F.transform("correlation", lambda r: F.concat_ws(":", r["key"].cast("string"), r["offset"].cast("string"), r["next_offset"].cast("string")))
+    return rows.select("batch_id", F.array_join(place, " ").alias("correlation"), _joined(F.col("input_ids")).alias("input_ids"))
 
 
 def decode_full(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,21 +223,17 @@ def unit_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def semantic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best five of all embeddings for each of the query set, those whose id is divisible by 50."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
-    query = vectors.orderBy("vec_id").limit(1).select(F.col("embedding").alias("query"))
-    return S.top_k(vectors, query, 5).select("vec_id", F.round("score", 6).alias("score"))
-
-
-def semantic_topk_each(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every embedding as a query, in contrast to semantic_topk."""
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
-    queries = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return S.top_k_each(vectors, queries, 5).withColumn("score", F.round("score", 6))
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = _texts(spark, sf_dir)
-    rows = S.passages(B.chunk_rows(texts, model(), SIZE), texts)
+    return _passage_columns(S.passages(_texts(spark, sf_dir), model(), SIZE))
+
+
+def _passage_columns(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("key").alias("doc_id"), F.col("chunk").cast("long").alias("chunk"), "passage")
 
 
@@ -211,15 +270,15 @@ def json_map_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def added_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Special tokens inside words: every document's first characters are not needed for that, so its id is set between two of them."""
-    marked = F.concat(F.lit("doc[CLS]"), F.col("doc_id").cast("string"), F.lit("[SEP]end "), F.col("text"))
-    rows = _documents(spark, sf_dir).select("doc_id", C.segments(marked, model()).alias("s"))
+    """Special tokens inside words, around every document's id."""
+    rows = _marked(_documents(spark, sf_dir)).select("doc_id", C.segments("text", model()).alias("s"))
     return rows.select("doc_id", F.array_join("s.segment", " ").alias("segments"))
 
 
 ALL = (
-    vocab, vocab_lookup, vocab_lookup_all, pretokenize, word_functions, wordpiece_words, encode_full, encode_memoised, encode_truncated_512,
-    encode_truncated_32, encode_padded_128, chat_encode, chat_encode_full, chunk_stride0, chunk_stride25, batches, packed_batches, decode_full,
-    tokens_by_lang, tokens_by_source, unit_norm, semantic_topk, semantic_topk_each, passages, resume_pending, upsert_chunks, stream_chunks,
+    vocab, vocab_lookup, pretokenize, word_functions, wordpiece_words, encode_full, encode_memoised, encode_truncated_512,
+    encode_truncated_32, encode_padded_128, encode_vocab_txt, prompt_encode, chat_encode, chunk_stride0, chunk_stride25, chunk_27, chunk_333_stride77,
+    chunk_nfc, chunk_nfkc, batches, packed_batches, partition_batches, batches_repeated_keys, passages_repeated_keys, memoised_repeated_keys,
+    decode_full, tokens_by_lang, tokens_by_source, unit_norm, semantic_topk, passages, resume_pending, upsert_chunks, stream_chunks,
     json_map_source, added_tokens,
 )

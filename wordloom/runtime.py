@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+#: Bytes of input that are spread over the cores at most.
+SPREAD_BYTES = 256 << 20
+
 _shipped: set[str] = set()
 
 
@@ -27,6 +34,7 @@ def ship(spark: SparkSession) -> None:
         for file in sorted(root.rglob("*.py")):
             archive.write(file, file.relative_to(root.parent))
     context.addPyFile(path)
+    atexit.register(Path(path).unlink, missing_ok=True)
     _shipped.add(context.applicationId)
 
 
@@ -46,11 +54,28 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="wordloom-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one for what results are read from; it goes when this program ends."""
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    atexit.register(remove, spark, path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it is; nothing happens where it or the JVM is gone."""
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(where, True)
+    except (Py4JError, OSError, TypeError, AttributeError):
+        pass
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint to the shared folder, so that later steps survive lost executors without recomputing."""
     shared_dir(df.sparkSession)
@@ -58,6 +83,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores, where its files give fewer partitions than there are cores; a large table stays as it is."""
+    """``df`` over all cores, if it is no more than SPREAD_BYTES of files that give fewer partitions than there are cores.
+
+    A larger table is never shuffled for that, however many cores there are; ``spark.sql.files.maxPartitionBytes`` divides it.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= SPREAD_BYTES and df.rdd.getNumPartitions() < cores else df

@@ -52,6 +52,17 @@ class TokenizerModel:
         plain = {k: v for k, v in self.__dict__.items() if k not in ("key", "added")}
         return hashlib.md5(json.dumps([plain, [(a.content, a.normalized) for a in self.added]], sort_keys=True).encode()).hexdigest()
 
+    def token(self, number: int) -> str:
+        """The token of an id, with its mark if it continues words."""
+        for table, mark in ((self.prefixes, ""), (self.suffixes, self.decoder_prefix)):
+            for token, own in table.items():
+                if own == number:
+                    return mark + token
+        for token, own in (self.unk, self.cls, self.sep, self.pad):
+            if own == number:
+                return token
+        raise IndexError(f"the vocabulary has no token {number}")
+
     def vocab(self, spark: SparkSession) -> DataFrame:
         """token, is_suffix, id."""
         rows = [(t, False, i) for t, i in self.prefixes.items()] + [(t, True, i) for t, i in self.suffixes.items()]
@@ -99,7 +110,7 @@ def from_lines(
 def _read(spark: SparkSession | None, path: str) -> str:
     if path is None:
         raise ValueError("a path must be given")
-    if spark is None or os.path.exists(path):
+    if spark is None or os.path.isfile(path):
         with open(path, encoding="utf-8") as file:
             return file.read()
     return spark.read.text(path, wholetext=True).first()[0]
