@@ -175,11 +175,16 @@ def test_line_dedup_is_reversible(spark, edge, tmp_path):
     assert key(fresh.texts(second, batch).collect()) == key(fresh.texts(second).collect()) == key(grown.texts(second, 2).collect())
     for index in (grown, fresh):
         _filters_hold_what_is_left(index)
+    last = len(grown.runs)
+    extra = grown.insert(spark.createDataFrame([(50, "one line more"), (51, "shared line of text")], "doc_id long, text string"))
+    assert len(grown.runs) == last + 1
+    grown.delete(spark.createDataFrame([(50, "one line more"), (51, "shared line of text")], "doc_id long, text string"))
+    assert len(grown.runs) == last and extra not in grown.changed
     grown.compact()
     assert key(grown.texts(rest).collect()) == want and len(grown.runs) == 1 and counts(grown) == counts(fresh)
     _filters_hold_what_is_left(line_dedup.LineIndex.open(spark, where, config))
     grown.insert(docs)
-    assert {r.doc_id for r in grown.refs.where("batch > 4").collect()} == {1}
+    assert {r.doc_id for r in grown.refs.where("batch > 6").collect()} == {1}
 
 
 def _filters_hold_what_is_left(index):

@@ -11,9 +11,10 @@ its entry is in the log, so a failed change leaves the index as it was:
 * ``filters/<version>`` — a cuckoo filter for each hash shard of a run's
   different lines; newer versions replace those of the same run and shard.
 * ``gone/<version>`` — the documents that a deletion took out; they hide the
-  references of earlier batches.
-* ``log/<version>`` — what each version did, and into how many shards a run is
-  divided; the number follows the run's lines, so a shard stays small.
+  references of the runs it touched.
+* ``log/<version>`` — what each version did: into how many shards a run is
+  divided (the number follows the run's lines, so a shard stays small), and
+  which runs a deletion touched or emptied.
 
 Inserting a batch probes the filters of earlier runs with its documents, and its
 texts (:meth:`LineIndex.texts`) are found by probing them with its lines: what a
@@ -35,6 +36,7 @@ text are not read.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -49,7 +51,7 @@ from .cuckoo import CuckooFilter
 from .tables import cut, fingerprint
 
 FILTERS = "run int, shard int, filter binary, full boolean"
-LOG = "version int, kind string, shards int"
+LOG = "version int, kind string, shards int, touched array<int>, emptied array<int>"
 KEYS = ["k1", "k2"]
 LINE = ["d1", "d2"]
 
@@ -126,7 +128,7 @@ class LineIndex:
     def __init__(self, spark: SparkSession, path: str, config: LineConfig = LineConfig()):
         ship(spark)
         self.spark, self.path, self.config = spark, path, config
-        self.version, self.runs, self.gone, self.changed = 0, [], [], []
+        self.version, self.runs, self.changed = 0, [], {}
 
     @staticmethod
     def open(spark: SparkSession, path: str, config: LineConfig = LineConfig()) -> LineIndex:
@@ -136,39 +138,34 @@ class LineIndex:
             entries = spark.read.schema(LOG).json(os.path.join(path, "log", "*")).collect()
         except AnalysisException:
             return index
-        for entry in sorted(entries):
+        for entry in sorted(entries, key=lambda e: e.version):
             index._apply(*entry)
         return index
 
-    def _apply(self, version: int, kind: str, shards: int) -> None:
+    def _apply(self, version: int, kind: str, shards: int, touched: list[int], emptied: list[int]) -> None:
         self.version = version
         if kind == "delete":
-            self.gone.append(version)
-            self.changed.append(version)
+            self.runs = [run for run in self.runs if run.version not in emptied]
+            for run in touched:
+                self.changed.setdefault(run, []).append(version)
         else:
-            if kind == "compact":
-                self.runs, self.gone, self.changed = [], [], []
-            self.runs.append(Run(version, shards))
+            self.runs = [*([] if kind == "compact" else self.runs), Run(version, shards)]
 
     def _at(self, *names) -> str:
         return os.path.join(self.path, *map(str, names))
 
-    def _commit(self, kind: str, shards: int = 0) -> None:
+    def _commit(self, kind: str, shards: int = 0, touched: Iterable[int] = (), emptied: Iterable[int] = ()) -> None:
         """The entry of the version whose files are all written; it is what makes it count."""
-        version = self.version + 1
-        self.spark.createDataFrame([(version, kind, shards)], LOG).coalesce(1).write.mode("overwrite").json(self._at("log", version))
-        self._apply(version, kind, shards)
-
-    def _alive(self, refs: DataFrame) -> DataFrame:
-        """References without those of deleted documents."""
-        for version in self.gone:
-            gone = self.spark.read.parquet(self._at("gone", version))
-            refs = refs.join(gone.withColumn("until", F.lit(version)), [refs[k] == gone[k] for k in KEYS] + [F.col("batch") < F.col("until")], "left_anti")
-        return refs
+        entry = (self.version + 1, kind, shards, list(touched), list(emptied))
+        self.spark.createDataFrame([entry], LOG).coalesce(1).write.mode("overwrite").json(self._at("log", entry[0]))
+        self._apply(*entry)
 
     def run(self, run: Run) -> DataFrame:
-        """d1, d2, doc_id, k1, k2, place, batch: the references of a run."""
-        return self._alive(self.spark.read.parquet(self._at("refs", run.version)))
+        """d1, d2, doc_id, k1, k2, place, batch: the references of a run, without those of deleted documents."""
+        refs = self.spark.read.parquet(self._at("refs", run.version))
+        for version in self.changed.get(run.version, ()):
+            refs = refs.join(self.spark.read.parquet(self._at("gone", version)), KEYS, "left_anti")
+        return refs
 
     @property
     def refs(self) -> DataFrame | None:
@@ -179,10 +176,9 @@ class LineIndex:
         """run, shard, filter: the newest filters of a run."""
         read = lambda v: self.spark.read.schema(FILTERS).parquet(self._at("filters", v)).where(F.col("run") == run.version).drop("full")
         found = read(run.version)
-        for version in self.changed:
-            if version > run.version:
-                newer = read(version)
-                found = found.join(newer.select("shard"), "shard", "left_anti").unionByName(newer)
+        for version in self.changed.get(run.version, ()):
+            newer = read(version)
+            found = found.join(newer.select("shard"), "shard", "left_anti").unionByName(newer)
         return found
 
     def _lines(self, documents: DataFrame) -> DataFrame:
@@ -192,12 +188,17 @@ class LineIndex:
         lines = lines.select(F.xxhash64("line").alias("d1"), F.xxhash64(F.lit(1), "line").alias("d2"), "doc_id", *KEYS, "place")
         return lines.unionByName(rows.select(F.col("k1").alias("d1"), F.col("k2").alias("d2"), "doc_id", *KEYS, F.lit(-1).alias("place")))
 
-    def _hits(self, lines: DataFrame, run: Run) -> DataFrame:
-        """References of ``run`` to some different lines (d1, d2): the filters are asked first, and only possible hits are looked up."""
+    def _hits(self, lines: DataFrame, run: Run) -> DataFrame | None:
+        """References of ``run`` to some different lines (d1, d2): the filters are asked first, and only possible hits are looked up.
+
+        None where the filters lack all of them.
+        """
         asked = lines.withColumn("shard", _shard(run.shards))
         possible = cut(asked.groupBy("shard").cogroup(self.filters(run).groupBy("shard")).applyInArrow(_possible, "shard int, d1 long, d2 long"))
         refs, few = self.run(run), self.config.few_shards
         shards = [r.shard for r in possible.select("shard").distinct().limit(few + 1).collect()]
+        if not shards:
+            return None
         if len(shards) <= few:
             refs = refs.where(reduce(Column.__or__, (_range(s, run.shards) for s in shards), F.lit(False)))
         return refs.join(possible.select(*LINE), LINE, "left_semi")
@@ -219,10 +220,10 @@ class LineIndex:
         lines = self._lines(documents)
         if self.runs:
             keys = _documents(documents).select(F.col("k1").alias("d1"), F.col("k2").alias("d2")).distinct()
-            known = [self._hits(keys, run).where("place = -1").select(*KEYS) for run in self.runs]
-            known = cut(reduce(DataFrame.unionByName, known))
-            if not known.isEmpty():
-                lines = lines.join(known, KEYS, "left_anti")
+            known = [hits.where("place = -1").select(*KEYS) for hits in (self._hits(keys, run) for run in self.runs) if hits is not None]
+            if known:
+                known = cut(reduce(DataFrame.unionByName, known))
+                lines = lines if known.isEmpty() else lines.join(known, KEYS, "left_anti")
         self._write(lines.withColumn("batch", F.lit(self.version + 1)), "insert")
         return self.version
 
@@ -231,22 +232,27 @@ class LineIndex:
         version = self.version + 1
         keys = cut(_documents(documents).select(*KEYS).distinct())
         asked = keys.select(F.col("k1").alias("d1"), F.col("k2").alias("d2"))
-        changed = None
+        changed, touched, emptied = None, [], []
         for run in self.runs:
-            held = cut(self._hits(asked, run).where("place = -1").select(*KEYS))
-            if held.isEmpty():
+            hits = self._hits(asked, run)
+            held = None if hits is None else cut(hits.where("place = -1").select(*KEYS))
+            if held is None or held.isEmpty():
                 continue
             refs = self.run(run)
-            away = cut(refs.join(held, KEYS, "left_semi").select(*LINE).distinct())
             left = refs.join(held, KEYS, "left_anti").select(*LINE)
+            if left.isEmpty():
+                emptied.append(run.version)
+                continue
+            touched.append(run.version)
+            away = refs.join(held, KEYS, "left_semi").select(*LINE).distinct()
             vanished = away.join(left, LINE, "left_anti").withColumn("shard", _shard(run.shards))
             part = vanished.groupBy("shard").cogroup(self.filters(run).groupBy("shard")).applyInArrow(_drop, FILTERS)
             changed = part if changed is None else changed.unionByName(part)
-        if changed is None:
-            return
-        changed.write.mode("overwrite").parquet(self._at("filters", version))
-        keys.write.mode("overwrite").parquet(self._at("gone", version))
-        self._commit("delete")
+        if changed is not None:
+            changed.write.mode("overwrite").parquet(self._at("filters", version))
+            keys.write.mode("overwrite").parquet(self._at("gone", version))
+        if touched or emptied:
+            self._commit("delete", 0, touched, emptied)
 
     def compact(self) -> None:
         """Merge all runs into one, without what was deleted."""
@@ -261,7 +267,8 @@ class LineIndex:
             earlier = [run for run in self.runs if run.version < batch]
             lines = cut(own.select(*LINE).distinct()) if earlier else None
             for run in earlier:
-                known = known.unionByName(self._hits(lines, run))
+                hits = self._hits(lines, run)
+                known = known if hits is None else known.unionByName(hits)
         else:
             known = self.refs
             own = known if batch is None else known.where(F.col("batch") == batch)
@@ -276,7 +283,7 @@ class LineIndex:
         """
         rows = _documents(documents)
         if self.runs:
-            joined = rows.join(self.dropped(batch), KEYS, "left").dropDuplicates(KEYS)
+            joined = rows.join(cut(self.dropped(batch)), KEYS, "left").dropDuplicates(KEYS)
         else:
             joined = rows.dropDuplicates(KEYS).withColumn("places", F.lit(None).cast("array<int>"))
         lines = joined.select("doc_id", "text", F.coalesce("places", F.array().cast("array<int>")).alias("places"), F.split("text", "\n").alias("lines"))

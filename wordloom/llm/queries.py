@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..runtime import scratch
 from . import chat, decontaminate, exact_dedup, license_scan, line_dedup, mixing, quality, secret_scan, sharding, simhash
-from .tables import shared_dir, table
+from .tables import table
 
 SMALL_SHARDS = sharding.ShardConfig(limit=64 << 10)
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,8 +28,7 @@ def sharding_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = os.path.join(shared_dir(spark), f"lines-{uuid.uuid4().hex}")
-    return line_dedup.dedup_in_parts(table(spark, sf_dir, "documents"), path)
+    return line_dedup.dedup_in_parts(table(spark, sf_dir, "documents"), scratch(spark, "lines"))
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
