@@ -56,12 +56,25 @@ def _udf(model: TokenizerModel, text: Column | str, kind: str, each: Callable, p
     return F.arrow_udf(run, kind)(F.col(text) if isinstance(text, str) else text)
 
 
+def _whole(model: TokenizerModel, value: Column | str, kind: str, each: Callable) -> Column:
+    """An Arrow UDF whose columns are worked on as a whole."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        raise RuntimeError("column functions need an active SparkSession")
+    ship(spark)
+    shared = Shared(spark, model)
+
+    def run(values: pa.Array) -> pa.Array:
+        return each(shared.vector, values)
+
+    return F.arrow_udf(run, kind)(F.col(value) if isinstance(value, str) else value)
+
+
 def token_ids(text: Column | str, model: TokenizerModel, max_tokens: int | None = 512) -> Column:
     """array<bigint>: CLS, pieces, SEP; at most ``max_tokens`` ids, all of them for None."""
-    if max_tokens is None:
-        return _udf(model, text, "array<bigint>", lambda k, v: k.encode_all(v), _lists)
-    _check_limits(max_tokens, None)
-    return _udf(model, text, "array<bigint>", lambda k, v: k.encode(v, max_tokens), _lists)
+    if max_tokens is not None:
+        _check_limits(max_tokens, None)
+    return _whole(model, text, "array<bigint>", lambda kernel, values: kernel.encode(values, max_tokens))
 
 
 def pad(ids: Column, model: TokenizerModel, length: int) -> Column:
@@ -152,8 +165,7 @@ def decode(ids: Column | str, model: TokenizerModel, on_unknown: str = "null") -
     """Text of an id list.  One whose first id is unknown gives null, or fails with ``on_unknown="raise"``; later unknown ids are left out."""
     if on_unknown not in ("null", "raise"):
         raise ValueError("on_unknown must be null or raise")
-    each = lambda k, v: k.decode(v) if on_unknown == "raise" or k.known(v) else None
-    return _udf(model, ids, "string", each, lambda rows: pa.array(rows, pa.string()))
+    return _whole(model, ids, "string", lambda kernel, values: kernel.decode(values, on_unknown == "raise"))
 
 
 def lookup(ids: DataFrame, model: TokenizerModel, id: str = "id") -> DataFrame:

@@ -45,17 +45,25 @@ def segment_pattern(model: TokenizerModel) -> re.Pattern:
     return re.compile(f"{added}|[{single}]|{word}")
 
 
+def folded_pattern(model: TokenizerModel) -> re.Pattern | None:
+    """What finds any added token that is matched without case; None where there is none."""
+    folded = "|".join(re.escape(t.content) for t in model.added if t.content and t.normalized)
+    return re.compile(folded, re.IGNORECASE) if folded else None
+
+
 class Kernel:
     """Pre-tokenization, piece matching, encoding, chunking and decoding for one model."""
 
     def __init__(self, model: TokenizerModel):
         self.model = model
         self.pattern = segment_pattern(model)
+        self.folded_pattern = folded_pattern(model)
         self.exact = {t.content for t in model.added if not t.normalized}
         self.folded = {t.content.casefold() for t in model.added if t.normalized}
         self.longest_prefix = max(map(len, model.prefixes), default=0)
         self.longest_suffix = max(map(len, model.suffixes), default=0)
-        self.memo = _Memo(self._make)
+        self.memo = _Memo(self.make)
+        self.vector = None
         self._inverse: tuple[dict[int, str], dict[int, str]] | None = None
 
     def prepare(self, text: str) -> str:
@@ -93,7 +101,8 @@ class Kernel:
             at = end
         return ids, True
 
-    def _make(self, segment: str) -> tuple[tuple[int, ...], tuple[tuple[int, ...], ...]]:
+    def make(self, segment: str) -> tuple[tuple[int, ...], tuple[tuple[int, ...], ...]]:
+        """(pieces, pieces of the attempts before) of a segment."""
         model, word, attempts = self.model, self.cased(segment), []
         while True:
             ids, whole = self._greedy(word)
@@ -194,7 +203,8 @@ class Kernel:
                 return out
             at, offset = resume, following
 
-    def _names(self) -> tuple[dict[int, str], dict[int, str]]:
+    def names(self) -> tuple[dict[int, str], dict[int, str]]:
+        """id → token of the prefixes and of the suffixes."""
         if self._inverse is None:
             made = []
             for table in (self.model.prefixes, self.model.suffixes):
@@ -207,13 +217,13 @@ class Kernel:
 
     def known(self, ids: list[int]) -> bool:
         """Whether the first of some ids has a token; an empty list begins with nothing unknown."""
-        return not len(ids) or any(ids[0] in table for table in self._names())
+        return not len(ids) or any(ids[0] in table for table in self.names())
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids.  An unknown first id is an error; unknown later ones are left out."""
         if not len(ids):
             return ""
-        prefixes, suffixes = self._names()
+        prefixes, suffixes = self.names()
         first, clean = ids[0], self.model.cleanup
         if not self.known(ids):
             raise KeyError(f"the vocabulary has no token {first}")
@@ -254,6 +264,16 @@ class Shared:
     def kernel(self) -> Kernel:
         return _kernel(self.key, _ByKey(self.key, self.sent))
 
+    @property
+    def vector(self):
+        """The same for whole columns."""
+        from .vector import VectorKernel
+
+        kernel = self.kernel
+        if kernel.vector is None:
+            kernel.vector = VectorKernel(kernel)
+        return kernel.vector
+
 
 class _ByKey:
     """Equal for equal models, so that workers find the kernel again."""

@@ -30,7 +30,7 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _joined(ids) -> F.Column:
-    return F.array_join(F.transform(ids, lambda i: i.cast("string")), " ")
+    return F.array_join(ids.cast("array<string>"), " ")
 
 
 def _counted(df: DataFrame, key: str | list[str], ids) -> DataFrame:
