@@ -222,17 +222,17 @@ def test_cuckoo_filter():
 
 def test_signatures_bit_by_bit():
     texts = ["a b c d e f a b", "one", "the same words the same words", "tail ünïcode 漢字"]
-    got = np.unpackbits(simhash.unfixed(simhash.signatures(pa.array(texts))), axis=1, bitorder="big")
+    got = np.unpackbits(simhash.signatures(pa.array(texts))[0], axis=1, bitorder="big")
     for text, bits in zip(texts, got):
         assert bits.astype(bool).tolist() == brute.signature(text, simhash._WORDS)
-    assert simhash.signatures(pa.array(["", None, "…"])).null_count == 3
+    assert simhash.signatures(pa.array(["", None, "…"]))[1].all()
 
 
 def _near(docs):
     """doc_id → smallest doc_id of its component, over all pairs within the radius."""
-    sig = simhash.signatures(pa.array([t for _, t in docs], pa.string()))
-    ok = [i for i, s in enumerate(sig) if s.is_valid]
-    w = simhash.unfixed(sig.drop_null()).view(np.uint64)
+    sig, empty = simhash.signatures(pa.array([t for _, t in docs], pa.string()))
+    ok = np.flatnonzero(~empty).tolist()
+    w = sig[~empty].view(np.uint64)
     pairs = []
     for i in range(len(ok)):
         far = np.bitwise_count(w[i + 1 :] ^ w[i]).sum(axis=1)
@@ -249,14 +249,59 @@ def test_near_groups_against_all_pairs(spark):
     assert all(want[d] == want[g] for d, g in got.items())
 
 
-def test_buckets_above_the_cap_are_split():
+def _family(rng, n, spread=70):
+    """Signatures around one, in pairs of 10 to 50 bits apart."""
+    base, out = rng.integers(0, 2, 256), []
+    for _ in range(n // 2):
+        one = base ^ (rng.random(256) < spread / 256)
+        two = one.copy()
+        two[rng.choice(256, int(rng.integers(10, 51)), replace=False)] ^= 1
+        out += [one, two]
+    return np.packbits(np.array(out, dtype=np.uint8), axis=1)
+
+
+@pytest.mark.parametrize("hot_caps", [1, 10**6])
+def test_recall_where_the_cap_bites(spark, hot_caps):
+    rng = np.random.default_rng(3)
+    sig = np.concatenate([_family(rng, 2400), rng.integers(0, 256, (600, 32), dtype=np.uint8)])
+    config = simhash.SimHashConfig(strangers=200, bucket_cap=250, hot_caps=hot_caps)
+    order = config.coordinates(len(sig))
+    k = config.sampled_bits(len(sig))
+    largest = max(np.unique(np.packbits(np.unpackbits(sig, axis=1)[:, o[:k]], axis=1), axis=0, return_counts=True)[1].max() for o in order)
+    hot = simhash.hot_buckets(sig, len(sig), order, k, config)
+    assert largest > config.bucket_cap and any(len(keys) for keys, _ in hot) == (hot_caps == 1)
+    nodes = spark.createDataFrame(pa.table({"node": np.arange(len(sig)), **dict(zip(simhash.SIGNATURE, simhash.packed(sig)))})).repartition(3)
+    found = {frozenset((r.a, r.b)) for r in simhash.near_edges(nodes, len(sig), config).collect()}
+    words = sig.view(np.uint64)
+    assert all(np.bitwise_count(words[a] ^ words[b]).sum() <= 3 * config.radius for a, b in map(tuple, found))
+    root = brute.components(len(sig), [tuple(p) for p in found])
+    pairs = [(i, j) for i in range(0, len(sig), 7) for j in (i + 1 + np.flatnonzero(np.bitwise_count(words[i + 1 :] ^ words[i]).sum(axis=1) <= config.radius)).tolist()]
+    assert len(pairs) > 150 and np.mean([root[i] == root[j] for i, j in pairs]) >= 0.9
+    true = brute.components(len(sig), [(i, j) for i in range(len(sig)) for j in (i + 1 + np.flatnonzero(np.bitwise_count(words[i + 1 :] ^ words[i]).sum(axis=1) <= config.radius)).tolist()])
+    assert all(true[a] == true[b] for a, b in map(tuple, found))
+
+
+def test_parts_of_split_buckets_stay_apart():
     rng = np.random.default_rng(1)
-    base = rng.integers(0, 256, (1, 32), dtype=np.uint8)
-    sig = np.repeat(base, 300, axis=0)
+    sig = np.repeat(rng.integers(0, 256, (1, 32), dtype=np.uint8), 300, axis=0)
     sig[:, 0] = np.arange(300) % 256
+    keys = np.repeat([3, 9, 12], 100)
     config = simhash.SimHashConfig(bucket_cap=32)
-    a, b = simhash.edges_of(np.zeros(300, np.int64), sig, config.coordinates(300), 4, config)
-    assert len(a) and len(a) == len(b)
+    a, b = simhash.edges_of(keys, sig, config.coordinates(300), 4, config)
+    assert len(a) and all(keys[i] == keys[j] for i, j in zip(a, b))
+    whole = simhash.SimHashConfig(bucket_cap=1000)
+    a, b = simhash.edges_of(keys, sig, config.coordinates(300), 4, whole)
+    assert brute.components(300, list(zip(a.tolist(), b.tolist()))) == [0] * 100 + [100] * 100 + [200] * 100
+
+
+def test_any_types_are_near_copies(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = spark.createDataFrame([("b", text, {"x": 1, "y": 2}, [{"k": "v"}]), ("a", text, {"y": 2, "x": 1}, None), ("b", text, {"y": 2, "x": 1}, [{"k": "v"}]), (None, None, None, None)], "doc_id string, text string, m map<string,int>, deep array<map<string,string>>")
+    groups = simhash.near_groups(rows).collect()
+    assert sorted((r.doc_id or "", r.group_id or "", r.keep, r.n_rows) for r in groups) == [("", "", True, 1), ("a", "a", True, 1), ("b", "a", False, 2)]
+    assert sorted(r.doc_id or "" for r in simhash.drop_near_copies(rows).collect()) == ["", "a"]
+    assert license_scan.scan_licenses(rows.withColumn("text", F.lit("Released under the MIT License."))).first().doc_id in ("a", "b", None)
+    assert secret_scan.scan_secrets(rows.withColumn("text", F.lit("password = abcdefghijklmnop1234"))).count() == 4
 
 
 def test_leaks_against_every_alignment(spark):

@@ -19,7 +19,8 @@ scan is one pass without a shuffle.
 Defined results: one row a licence paragraph, ``paragraph`` counting them within
 the text and ``start`` and ``length`` in characters.  Null, empty and wordless
 texts have none.  Families of equal probability rank by name.  Repeated rows
-repeat their paragraphs; a null doc_id is carried; other columns are not read.
+repeat their paragraphs; a null doc_id is carried and may have any type; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ from pyspark.sql import DataFrame
 from ..runtime import map_batches
 from . import kernels as K
 from .license_templates import BACKGROUND, FUNCTION_WORDS, TEMPLATES
+from .tables import kind
 
 UNKNOWN = "unknown"
 _BLANK = re.compile(rb"\n[ \t\r]*\n")
@@ -312,5 +314,5 @@ def scan_licenses(documents: DataFrame, config: LicenseConfig = LicenseConfig())
                 columns = [batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, t) for x, t in zip(rest, kinds, strict=True))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "paragraph", "start", "length", "family", "probability", "similarity", "confirmed"])
 
-    schema = "doc_id long, paragraph long, start long, length long, family string, probability double, similarity double, confirmed boolean"
+    schema = f"doc_id {kind(documents, 'doc_id')}, paragraph long, start long, length long, family string, probability double, similarity double, confirmed boolean"
     return map_batches(documents.select("doc_id", "text"), run, schema)

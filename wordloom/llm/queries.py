@@ -36,7 +36,7 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_groups(table(spark, sf_dir, "documents")).drop("content")
+    return simhash.near_groups(table(spark, sf_dir, "documents")).drop("content", "content2")
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

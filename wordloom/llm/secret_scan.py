@@ -8,7 +8,7 @@ with the regex.  Rules without a mandatory trigram scan all texts.
 
 Defined results: matches are non-overlapping, leftmost first, over whole texts;
 ``start`` counts characters from 0.  Null or empty texts have none.  Repeated
-rows repeat their matches; a null doc_id is carried.  The secret itself is not
+rows repeat their matches; a null doc_id is carried and may have any type.  The secret itself is not
 returned but its length and md5.  Other columns are not read.
 """
 
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 
 from ..runtime import map_batches
 from . import kernels as K
+from .tables import kind
 from .trigrams import ALL, codes, trigram_query
 
 #: name → regex in the common ground of Python's ASCII mode and RE2.
@@ -125,7 +126,7 @@ def scan_secrets(documents: DataFrame, rules: dict[str, str] = RULES) -> DataFra
                     ["doc_id", "rule", "occurrence", "start", "length", "digest"],
                 )
 
-    return map_batches(documents.select("doc_id", "text"), run, "doc_id long, rule string, occurrence long, start long, length long, digest string")
+    return map_batches(documents.select("doc_id", "text"), run, f"doc_id {kind(documents, 'doc_id')}, rule string, occurrence long, start long, length long, digest string")
 
 
 def secret_sql(documents: str = "documents", rules: dict[str, str] = RULES) -> str:

@@ -6,10 +6,11 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from ..runtime import cut, shared_dir, spread
 
-__all__ = ["cut", "fingerprint", "join_id", "row_key", "shared_dir", "spare", "table"]
+__all__ = ["cut", "fingerprint", "kind", "row_key", "shared_dir", "spare", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,14 +25,24 @@ def fingerprint(*columns: str | Column) -> Column:
     return F.xxhash64(*[x for c in cols for x in (c.isNull(), c)])
 
 
-def row_key(df: DataFrame) -> Column:
-    """Hash over every column: rows that share it with a doc_id are repetitions of one row."""
-    return fingerprint(*[F.col(f"`{c}`") for c in df.columns])
+def kind(df: DataFrame, name: str) -> str:
+    """The type of a column as SQL writes it."""
+    return df.schema[name].dataType.simpleString()
 
 
-def join_id(doc_id: Column) -> Column:
-    """doc_id as a join key that is never null; content hashes tell null from the number that stands for it."""
-    return F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63)))
+def _comparable(df: DataFrame, name: str) -> Column:
+    """A column as something that can be hashed: maps by their sorted entries, or as JSON where they lie deeper."""
+    column, of = F.col(f"`{name}`"), df.schema[name].dataType
+    if "map<" not in of.simpleString():
+        return column
+    if isinstance(of, MapType) and "map<" not in of.keyType.simpleString() + of.valueType.simpleString():
+        return F.array_sort(F.map_entries(column))
+    return F.to_json(F.struct(column))
+
+
+def row_key(df: DataFrame, seed: int | None = None) -> Column:
+    """Hash over every column; rows that share those of two seeds are repetitions of one row."""
+    return fingerprint(*([] if seed is None else [F.lit(seed)]), *(_comparable(df, c) for c in df.columns))
 
 
 def spare(df: DataFrame, name: str) -> str:
