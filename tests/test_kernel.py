@@ -1,12 +1,16 @@
 import copy
 import json
+import random
+from dataclasses import replace
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from wordloom.functions import chars
 from wordloom.functions.kernel import Kernel
+from wordloom.functions.vector import VectorKernel
 from wordloom.plans.fixture import _config, model
 from wordloom.sources import vocabulary as V
 
@@ -199,3 +203,49 @@ def test_json_file(tmp_path):
     assert V.load_pretrained(str(tmp_path)).key == model().key
     with pytest.raises(FileNotFoundError):
         V.load_pretrained(str(tmp_path / "none"))
+
+
+def _odd_texts():
+    rng, parts = random.Random(1), [*"ab é789 漢.\u0301İΣ\u200b\U0001f600\n", "[CLS]", "the ", "Rhône", "nation", "\ufffd"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 60))) for _ in range(400)]
+    return [*texts, "", None, "the" * 200, "é" * 150, "word " * 3000, "x" * 70, "x" * 70 + "y", "\ud800".encode("utf-8", "replace").decode()]
+
+
+@pytest.mark.parametrize("form", ["NFD", "NFC", "NFKC"])
+def test_whole_columns_equal_single_texts(form):
+    texts, one, whole = _odd_texts(), Kernel(model(form)), VectorKernel(Kernel(model(form)))
+    column = pa.chunked_array([pa.array(["skipped", *texts])]).chunk(0).slice(1)
+    each = lambda f: [None if t is None else f(t) for t in texts]
+    for _ in range(2):
+        assert whole.encode(column, None).to_pylist() == each(one.encode_all)
+    for limit in (2, 3, 4, 7, 32, 512):
+        assert whole.encode(column, limit).to_pylist() == each(lambda t: one.encode(t, limit))
+    for size, stride in ((3, 0), (4, 0), (4, 1), (5, 2), (8, 3), (16, 0), (64, 10)):
+        found = [[(a, b, ids.tolist(), lost) for a, b, ids, lost in rows] for _, rows in whole.chunks(column, size, stride)]
+        assert found == [[] if t is None else [(a, b, list(ids), lost) for a, b, ids, lost in one.chunks(t, size, stride)] for t in texts]
+    ids = whole.encode(column, 64)
+    assert whole.decode(ids).to_pylist() == [None if t is None else one.decode(one.encode(t, 64)) for t in texts]
+    assert whole.encode(column.slice(0, 0), 9).to_pylist() == [] and whole.decode(ids.slice(0, 0)).to_pylist() == []
+
+
+def test_whole_columns_with_other_added_tokens():
+    added = (*model().added, V.AddedToken("cat", True), V.AddedToken("x.y", False))
+    own = replace(model(), added=added, prefixes=dict(model().prefixes, **{"cat": 7, "x.y": 8}))
+    texts = ["concatenate [CLS] CAT x.y.x [cls]", "the hat", "x.yx.y cat", "xx.y the"]
+    one, whole = Kernel(own), VectorKernel(Kernel(own))
+    assert whole.encode(pa.array(texts), None).to_pylist() == [one.encode_all(t) for t in texts]
+    assert whole.encode(pa.array(texts), 5).to_pylist() == [one.encode(t, 5) for t in texts]
+
+
+def test_the_pool_starts_over_when_full(monkeypatch):
+    whole, one = VectorKernel(Kernel(model())), Kernel(model())
+    texts = [f"word{k} the{k}" for k in range(50)]
+    monkeypatch.setattr(whole.pool, "rows", (1 << 19) + 1)
+    assert whole.encode(pa.array(texts), None).to_pylist() == [one.encode_all(t) for t in texts] and whole.pool.rows < 1000
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(max_size=40), max_size=6), st.integers(2, 12))
+def test_any_columns_equal_single_texts(texts, limit):
+    one, whole = Kernel(model()), VectorKernel(Kernel(model()))
+    assert whole.encode(pa.array(texts, pa.string()), limit).to_pylist() == [one.encode(t, limit) for t in texts]

@@ -116,37 +116,44 @@ def chunks(text: Column | str, model: TokenizerModel, tokens_per_input: int, str
         raise ValueError("offset_unit must be codepoint or utf16")
     fill = model.pad[1]
 
-    def each(kernel, text: str) -> list[dict]:
-        found = kernel.chunks(text, tokens_per_input, stride)
-        place = lambda at: at
-        if offset_unit == "utf16" and not text.isascii():
-            prepared = kernel.prepare(text)
-            wide = np.concatenate(([0], np.cumsum([1 + (c > "￿") for c in prepared])))
-            place = lambda at: None if at is None else int(wide[at])
-        return [
-            {
-                "offset": place(offset),
-                "next_offset": place(following),
-                "n_tokens": len(ids),
-                "input_ids": ids + [fill] * (tokens_per_input - len(ids)),
-                "truncated_tail": lost,
-            }
-            for offset, following, ids, lost in found
-        ]
-
-    kind = pa.list_(pa.struct([("offset", pa.int32()), ("next_offset", pa.int32()), ("n_tokens", pa.int32()), ("input_ids", pa.list_(pa.int64())), ("truncated_tail", pa.bool_())]))
-    return _udf(model, text, CHUNKS, each, lambda rows: pa.array(rows, kind))
+    def each(kernel, values: pa.Array) -> pa.Array:
+        count, offset, following, lost, ids = [], [], [], [], []
+        for text, found in kernel.chunks(values, tokens_per_input, stride):
+            count.append(len(found))
+            place = lambda at: at
+            if offset_unit == "utf16" and text is not None and not text.isascii():
+                wide = np.concatenate(([0], np.cumsum([1 + (c > "\uffff") for c in text])))
+                place = lambda at: None if at is None else int(wide[at])
+            for x, y, own, tail in found:
+                offset.append(place(x))
+                following.append(place(y))
+                lost.append(tail)
+                ids.append(own)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.full((len(ids), tokens_per_input), fill, np.int64)
+        flat[np.arange(tokens_per_input) < sizes[:, None]] = np.concatenate(ids) if ids else []
+        starts = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * np.int32(tokens_per_input))
+        rows = [pa.array(offset, pa.int32()), pa.array(following, pa.int32()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(starts, pa.array(flat.ravel())), pa.array(lost, pa.bool_())]
+        return _nested(values, count, pa.StructArray.from_arrays(rows, ["offset", "next_offset", "n_tokens", "input_ids", "truncated_tail"]))
+
+    return _whole(model, text, CHUNKS, each)
+
+
+def _nested(values: pa.Array, count: list[int], rows: pa.Array) -> pa.ListArray:
+    """``rows`` as lists of ``count``; null where a value is."""
+    offsets = pa.array(np.concatenate(([0], np.cumsum(count, dtype=np.int64))).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, rows, mask=values.is_null() if values.null_count else None)
 
 
 def passages(text: Column | str, model: TokenizerModel, tokens_per_input: int, stride: int = 0) -> Column:
     """array<string>: the part of the text that each chunk stands for, from its offset to the next one's."""
     _check_chunks(tokens_per_input, stride)
 
-    def each(kernel, text: str) -> list[str]:
-        prepared = kernel.prepare(text)
-        return [prepared[offset:following] for offset, following, _, _ in kernel.chunks(text, tokens_per_input, stride)]
+    def each(kernel, values: pa.Array) -> pa.Array:
+        found = [[text[x:y] for x, y, _, _ in rows] for text, rows in kernel.chunks(values, tokens_per_input, stride)]
+        return _nested(values, [len(x) for x in found], pa.array([p for x in found for p in x], pa.string()))
 
-    return _udf(model, text, "array<string>", each, lambda rows: pa.array(rows, pa.list_(pa.string())))
+    return _whole(model, text, "array<string>", each)
 
 
 def segments(text: Column | str, model: TokenizerModel) -> Column:

@@ -246,6 +246,64 @@ class VectorKernel:
             ids = np.concatenate(parts)
         return ids, sizes
 
+    def chunks(self, column: pa.Array, size: int, stride: int) -> Iterator[tuple[str | None, list[tuple[int, int | None, np.ndarray, bool]]]]:
+        """(prepared text, its chunks as :meth:`Kernel.chunks` gives them) of each text; no chunks for null."""
+        for a, b in _blocks(column, _BLOCK):
+            given = column.slice(a, b - a).to_pylist()
+            texts = [None if t is None else self.kernel.prepare(t) for t in given]
+            plain = self._plain([t or "" for t in texts]).tolist()
+            segments = Segments([t if t and p else "" for t, p in zip(texts, plain, strict=True)])
+            row = self.pool.find(segments)
+            size_of = self.pool.size[row]
+            before = np.concatenate(([0], np.cumsum(size_of)))
+            # how far a word must reach for a chunk to end with it, by its pieces or by those of a failed attempt
+            reach = before[:-1] + np.maximum(size_of + 1, self.pool.attempt[row])
+            held = before, reach, np.maximum.accumulate(reach) if len(reach) else reach, self.pool.gather(row)
+            for k, text in enumerate(texts):
+                if text is None:
+                    yield None, []
+                elif plain[k]:
+                    yield text, self._chunks(segments, k, held, size, stride)
+                else:
+                    yield text, [(x, y, np.array(ids, np.int64), lost) for x, y, ids, lost in self.kernel.chunks(text, size, stride)]
+
+    def _chunks(self, segments: Segments, text: int, held: tuple, size: int, stride: int) -> list[tuple[int, int | None, np.ndarray, bool]]:
+        before, reach, furthest, flat = held
+        model, zero = self.kernel.model, int(segments.offsets[text])
+        length, end = int(segments.offsets[text + 1]) - zero, int(segments.first[text + 1])
+        cls, sep = np.array([model.cls[1]]), np.array([model.sep[1]])
+        out, at, offset, tail = [], int(segments.first[text]), 0, cls[:0]
+        while True:
+            target = before[at] + size - len(tail) - 1
+            k = at + int(np.searchsorted(furthest[at:end], target))
+            while k < end and reach[k] < target:
+                k += 1
+            ids, following, resume, lost = [cls, tail, flat[before[at] : before[k]]], None, None, False
+            if k < end:
+                room = int(target - before[k])
+                got = np.array(self.kernel.pieces(segments.text(k), room), np.int64)
+                start = int(segments.start[k]) - zero
+                if len(got) < room:
+                    ids.append(got)
+                    if length > int(segments.end[k]) - zero:
+                        following, resume = start, k
+                elif before[k] == before[at]:
+                    ids.append(got[: room - 1])
+                    lost = True
+                else:
+                    following, resume = start, k
+                    if stride == 0:
+                        ids.append(got[: room - 1])
+            if following is not None and following <= offset and resume == at:
+                resume += 1
+                following = int(segments.end[at]) - zero if resume < end else None
+            ids = np.concatenate(ids)
+            tail = ids[max(1, len(ids) - stride) :] if stride else tail
+            out.append((offset, following, np.concatenate((ids, sep)), lost))
+            if following is None:
+                return out
+            at, offset = resume, following
+
     def decode(self, column: pa.Array, strict: bool = False) -> pa.Array:
         """Texts of id lists; an unknown first id gives null, or an error if ``strict``."""
         ids, shown, opening = self._tables()
