@@ -6,6 +6,7 @@ plane are ever white space, punctuation or ideographs; all others join words.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -49,18 +50,26 @@ def simple_lower(text: str) -> str:
 
 def drop_controls(word: str) -> str:
     """Without U+FFFD and characters of the categories C*."""
-    if word.isascii() and word.isprintable():
+    if word.isprintable() and "\ufffd" not in word:
         return word
     return "".join(c for c in word if c != "�" and unicodedata.category(c)[0] != "C")
 
 
+@lru_cache(maxsize=1)
+def _marks() -> re.Pattern:
+    """Non-spacing marks of the basic plane."""
+    return re.compile("[" + "".join(chr(c) for c in range(0x300, 0x10000) if unicodedata.category(chr(c)) == "Mn") + "]")
+
+
 def strip_marks(word: str, form: str) -> str:
     """Without non-spacing marks; a word that has none comes back as it is."""
     if word.isascii():
         return word
     apart = unicodedata.normalize("NFD", word)
-    if not any(c <= "￿" and unicodedata.category(c) == "Mn" for c in apart):
+    if not _marks().search(apart):
         return word
+    if apart.lower() == apart:
+        return unicodedata.normalize(form, _marks().sub("", apart))
     out = []
     for c in apart:
         kind = unicodedata.category(c) if c <= "￿" else ""

@@ -9,8 +9,9 @@ fills the pool and takes the texts that hold added tokens.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Characters that are looked at together, and the longest segment that is told by its hash alone.
 _BLOCK, _LONG = 1 << 19, 64
+#: Characters of a word, or of a token, that are matched for many words at once.
+_SHORT = 32
 _SLOTS = 20
 _WHITE, _WORD, _SINGLE = 0, 1, 2
 
@@ -114,13 +117,89 @@ class Pool:
         size = np.fromiter((len(pieces) for pieces, _ in made), np.int64, len(made))
         attempt = np.fromiter((max(map(len, attempts), default=0) for _, attempts in made), np.int64, len(made))
         flat = np.fromiter((i for pieces, _ in made for i in pieces), np.int64, int(size.sum()))
-        rows = np.arange(self.rows, self.rows + len(made))
+        return self._extend(size, attempt, flat)
+
+    def _extend(self, size: np.ndarray, attempt: np.ndarray, flat: np.ndarray) -> np.ndarray:
+        rows = np.arange(self.rows, self.rows + len(size))
         self.held = self._put(self.held, self.used, flat)
         self.begin = self._put(self.begin, self.rows, self.used + np.cumsum(size) - size)
         self.size, self.attempt = self._put(self.size, self.rows, size), self._put(self.attempt, self.rows, attempt)
-        self.used, self.rows = self.used + len(flat), self.rows + len(made)
+        self.used, self.rows = self.used + len(flat), self.rows + len(size)
+        return rows
+
+    def _make(self, segments: Segments, which: np.ndarray) -> np.ndarray:
+        """Rows for segments that are new: short words all at once, through all fallbacks, others one by one."""
+        rows, size, attempt = np.full(len(which), -1, np.int64), np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
+        model, make = self.kernel.model, self.kernel.make
+        words = [self.kernel.cased(segments.text(i)) for i in which.tolist()]
+        live = [k for k, w in enumerate(words) if len(w) <= _SHORT and chars.drop_controls(w) == w]
+        alone = sorted(set(range(len(words))) - set(live))
+        while live:
+            later = []
+            for a in range(0, len(live), 1 << 14):
+                some = np.array(live[a : a + (1 << 14)])
+                made, whole = self._greedy([words[k] for k in some.tolist()])
+                done = some[whole]
+                size[done] = (made[whole] >= 0).sum(axis=1)
+                rows[done] = self._extend(size[done], attempt[done], made[whole][made[whole] >= 0])
+                lost = some[~whole]
+                attempt[lost] = np.maximum(attempt[lost], (made[~whole] >= 0).sum(axis=1))
+                for k in lost.tolist():
+                    word = words[k]
+                    if not unicodedata.is_normalized(model.form, word):
+                        words[k] = unicodedata.normalize(model.form, word)
+                    elif model.strip_accents and not word.isascii() and (bare := chars.strip_marks(word, model.form)) != word:
+                        words[k] = bare
+                    else:
+                        rows[k] = self._extend(np.ones(1, np.int64), attempt[k : k + 1], np.array([model.unk[1]]))[0]
+                        continue
+                    # a fallback may be longer, or bring a control to light
+                    (later if len(words[k]) <= _SHORT and chars.drop_controls(words[k]) == words[k] else alone).append(k)
+            live = later
+        if alone:
+            rows[alone] = self.add([make(segments.text(int(which[k]))) for k in alone])
         return rows
 
+    def _greedy(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(pieces filled up with -1, whether they make up the word): longest matches from the left of some short words."""
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        width = int(length.max(initial=1))
+        grid = np.zeros((len(words), width), np.uint64)
+        grid[np.arange(width) < length[:, None]] = points
+        up, down = _powers(_BASE), _powers(_INVERSE)
+        total = np.zeros((len(words), width + 1), np.uint64)
+        np.cumsum((grid + np.uint64(1)) * up[:width], axis=1, out=total[:, 1:])
+        live, at, steps = np.flatnonzero(length), np.zeros(len(words), np.int64), []
+        while len(live):
+            step, wait = np.full(len(words), -1, np.int64), live
+            for size, known, ids in self.tables[len(steps) > 0]:
+                fits = wait[at[wait] + size <= length[wait]]
+                if len(fits):
+                    h = (total[fits, at[fits] + size] - total[fits, at[fits]]) * down[at[fits]]
+                    found = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    hit = known[found] == h
+                    step[fits[hit]] = ids[found[hit]]
+                    at[fits[hit]] += size
+                    wait = wait[step[wait] < 0]
+            steps.append(step)
+            live = live[(step[live] >= 0) & (at[live] < length[live])]
+        made = np.stack(steps, axis=1) if steps else np.zeros((len(words), 0), np.int64)
+        return made, (at == length) & (length > 0)
+
+    @cached_property
+    def tables(self) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
+        """For prefixes and suffixes: (length, sorted hashes, ids) of the short tokens, longest first."""
+        out = []
+        for tokens in (self.kernel.model.prefixes, self.kernel.model.suffixes):
+            by_size: dict[int, list[tuple[int, int]]] = {}
+            for token, number in tokens.items():
+                if 0 < len(token) <= _SHORT:
+                    by_size.setdefault(len(token), []).append((sum((ord(c) + 1) * pow(_BASE, k, 1 << 64) for k, c in enumerate(token)) % (1 << 64), number))
+            found = sorted(by_size.items(), reverse=True)
+            out.append([(size, np.array([h for h, _ in sorted(x)], np.uint64), np.array([i for _, i in sorted(x)], np.int64)) for size, x in found])
+        return out
+
     @staticmethod
     def _put(held: np.ndarray, at: int, new: np.ndarray) -> np.ndarray:
         if at + len(new) > len(held):
@@ -142,7 +221,7 @@ class Pool:
             new, at, back = np.unique(h[missing], return_index=True, return_inverse=True)
             found = np.fromiter((self.by_hash.get(value, -1) for value in new.tolist()), np.int64, len(new))
             fresh = np.flatnonzero(found < 0)
-            found[fresh] = self.add([self.kernel.make(segments.text(i)) for i in missing[at[fresh]].tolist()])
+            found[fresh] = self._make(segments, missing[at[fresh]])
             self.by_hash.update(zip(new[fresh].tolist(), found[fresh].tolist(), strict=True))
             slot = (new >> np.uint64(64 - _SLOTS)).astype(np.int64)
             self.slot_hash[slot], self.slot_row[slot] = new, found

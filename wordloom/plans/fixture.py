@@ -1,16 +1,23 @@
-"""A small fixed vocabulary for the registered queries.
+"""The vocabulary of the registered queries.
 
-It is written down here, not trained.  It has no accented letters, so that the
-fallbacks are taken, and lacks some digits and marks, so that unknown words occur.
+It is a small one that is written down here, and behind it, where the file is at
+hand, the lower-case words and word parts of a public vocabulary of some 50,000
+tokens (``PUBLIC``; one line a token, base64 and rank).  Nothing is trained.  It
+has no accented letters, so that the fallbacks are taken, and lacks some digits
+and marks, so that unknown words occur.
 """
 
 from __future__ import annotations
 
+import base64
+import os
+import re
 from dataclasses import replace
 from functools import lru_cache
 
 from ..sources.vocabulary import TokenizerModel, from_config
 
+PUBLIC = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SPECIALS = ("[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]")
 MARKS = ". , ; : ! ? - ' \" ( ) / | _ = + *".split()
 LETTERS = list("abcdefghijklmnopqrstuvwxyz0123456")
@@ -27,9 +34,19 @@ PIECES = (
 ).split()
 
 
-def _config() -> dict:
+@lru_cache(maxsize=4)
+def public_tokens(path: str) -> tuple[str, ...]:
+    """Words, and word parts with their mark, of a file of ranks; none where there is no such file."""
+    if not os.path.isfile(path):
+        return ()
+    with open(path, "rb") as file:
+        tokens = [base64.b64decode(line.split()[0]) for line in file if line.strip()]
+    return tuple(("" if t[:1] == b" " else "##") + t.strip().decode() for t in tokens if re.fullmatch(rb" ?[a-z]{1,16}", t))
+
+
+def _config(path: str = PUBLIC) -> dict:
     vocab: dict[str, int] = {}
-    for token in [*SPECIALS, *MARKS, *LETTERS, *WORDS, *(f"##{x}" for x in [*LETTERS, *PIECES])]:
+    for token in [*SPECIALS, *MARKS, *LETTERS, *WORDS, *(f"##{x}" for x in [*LETTERS, *PIECES]), *public_tokens(path)]:
         vocab.setdefault(token, len(vocab))
     return {
         "version": "1.0",
@@ -43,12 +60,12 @@ def _config() -> dict:
 
 
 @lru_cache(maxsize=4)
-def model(form: str = "NFD") -> TokenizerModel:
+def model(form: str = "NFD", path: str = PUBLIC) -> TokenizerModel:
     """The model; with another form it normalises whole texts first."""
-    return replace(from_config(_config()), form=form)
+    return replace(from_config(_config(path)), form=form)
 
 
-def vocab_lines() -> list[str]:
+def vocab_lines(path: str = PUBLIC) -> list[str]:
     """The same vocabulary as the lines of a vocab.txt."""
-    known = _config()["model"]["vocab"]
+    known = _config(path)["model"]["vocab"]
     return sorted(known, key=known.get)

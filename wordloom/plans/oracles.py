@@ -17,9 +17,14 @@ _SINGLE = chars.class_body(chars.ASCII_PUNCTUATION_RANGES, True) + r"\p{P}" + ch
 _WHITE = chars.class_body(chars.WHITESPACE_RANGES, True)
 _M = model()
 UNK, CLS, SEP, PAD = _M.unk[1], _M.cls[1], _M.sep[1], _M.pad[1]
-VOCAB = "vocab(token, is_suffix, id) AS (VALUES " + ", ".join(
-    [f"({_text(t)}, false, {i}::BIGINT)" for t, i in _M.prefixes.items()] + [f"({_text(t)}, true, {i}::BIGINT)" for t, i in _M.suffixes.items()]
-) + ")"
+
+
+def _tokens(table: dict[str, int], is_suffix: bool) -> str:
+    words, ids = (_text(" ".join(map(str, x))) for x in (table.keys(), table.values()))
+    return f"SELECT unnest(string_split({words}, ' ')) AS token, {is_suffix} AS is_suffix, unnest(string_split({ids}, ' ')::BIGINT[]) AS id"
+
+
+VOCAB = f"vocab AS MATERIALIZED ({_tokens(_M.prefixes, False)} UNION ALL {_tokens(_M.suffixes, True)})"
 _LONGEST = max(len(t) for t in [*_M.prefixes, *_M.suffixes])
 
 

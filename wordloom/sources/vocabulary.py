@@ -11,7 +11,7 @@ import hashlib
 import json
 import os
 from collections.abc import Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,19 +49,19 @@ class TokenizerModel:
     @cached_property
     def key(self) -> str:
         """Digest of the whole model: workers build what they need once for each."""
-        plain = {k: v for k, v in self.__dict__.items() if k not in ("key", "added")}
+        plain = {f.name: getattr(self, f.name) for f in fields(self) if f.name != "added"}
         return hashlib.md5(json.dumps([plain, [(a.content, a.normalized) for a in self.added]], sort_keys=True).encode()).hexdigest()
 
     def token(self, number: int) -> str:
         """The token of an id, with its mark if it continues words."""
-        for table, mark in ((self.prefixes, ""), (self.suffixes, self.decoder_prefix)):
-            for token, own in table.items():
-                if own == number:
-                    return mark + token
-        for token, own in (self.unk, self.cls, self.sep, self.pad):
-            if own == number:
-                return token
-        raise IndexError(f"the vocabulary has no token {number}")
+        if number not in self._by_id:
+            raise IndexError(f"the vocabulary has no token {number}")
+        return self._by_id[number]
+
+    @cached_property
+    def _by_id(self) -> dict[int, str]:
+        named = {i: t for t, i in (self.unk, self.cls, self.sep, self.pad)}
+        return named | {i: self.decoder_prefix + t for t, i in self.suffixes.items()} | {i: t for t, i in self.prefixes.items()}
 
     def vocab(self, spark: SparkSession) -> DataFrame:
         """token, is_suffix, id."""
