@@ -301,15 +301,14 @@ def dedup_lines(documents: DataFrame, path: str, config: LineConfig = LineConfig
 
 
 def dedup_in_parts(documents: DataFrame, path: str, config: LineConfig = LineConfig()) -> DataFrame:
-    """The same for integer ids, as the index grows: in three parts by doc_id, of which the last is taken out and inserted again.
+    """The same for integer ids, as the index grows: in two parts by doc_id, of which the second is taken out and inserted again.
 
     The parts follow each other in the order of ids, so every line has the same owner as if all came at once.
     """
     low, high = documents.agg(F.min("doc_id"), F.max("doc_id")).first()
     low, high = (0, 0) if low is None else (low, high)
-    half, most = low + (high - low) // 2, low + 3 * (high - low) // 4
-    of = F.col("doc_id")
-    parts = [documents.where(of < half), documents.where((of >= half) & (of < most)), documents.where((of >= most) | of.isNull())]
+    most, of = low + 3 * (high - low) // 4, F.col("doc_id")
+    parts = [documents.where(of < most), documents.where((of >= most) | of.isNull())]
     index = LineIndex(documents.sparkSession, path, config)
     batches = [index.insert(part) for part in parts]
     index.delete(parts[-1])
