@@ -2,19 +2,18 @@
 
 Every stage is a function of (spark, docs, sf_dir).  Its result is written as
 Parquet in the shared folder and read again as the next stage's documents, so a
-lost executor costs at most one stage's tasks, never the lineage before it.
-All stages but the last return the columns of ``documents``.
+lost executor costs at most one stage's tasks, never the lineage before it; what
+the next stage has read is deleted.  All stages but the last return the columns
+of ``documents``; the last adds shard, depth and page.
 """
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from wordloom.llm import decontaminate, mixing, quality, sharding, simhash
-from wordloom.llm.tables import shared_dir, table
+from wordloom.llm.tables import table
+from wordloom.runtime import remove, scratch
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,9 +56,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``."""
     docs = table(spark, sf_dir, "documents")
-    folder = os.path.join(shared_dir(spark), f"pipeline-{uuid.uuid4().hex}")
+    folder = scratch(spark, "pipeline")
     for number, (_, stage) in enumerate(STAGES):
-        path = f"{folder}/{number}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")
+        docs = spark.read.parquet(f"{folder}/{number}")
+        if number:
+            remove(spark, f"{folder}/{number - 1}")
     return docs

@@ -91,3 +91,75 @@ def leaks(docs, items, config=LeakConfig()):
             if len(doc) and (total[:, width:] - total[:, : size + 1 - width]).max() >= np.ceil(config.overlap * width - 1e-9):
                 found.add((doc_id, item_id))
     return found
+
+
+def licenses(text, model):
+    """(paragraph, start, length, family, probability, similarity, confirmed) of the licence paragraphs of a text, word by word."""
+    config, mask = model.config, (1 << 64) - 1
+    tok = K.tokenize(pa.array([text or ""]))
+    data, words = tok.data.tobytes(), list(zip(tok.hash.tolist(), tok.start.tolist(), tok.end.tolist()))
+
+    def mixed(h):
+        return int(K.mix(np.array([h & mask], np.uint64))[0])
+
+    def grams(a, b, order):
+        out = []
+        for i in range(a, b - order + 1):
+            h = words[i][0]
+            for k in range(1, order):
+                h = h * 0xD6E8FEB86659FD93 + words[i + k][0]
+            out.append(h if order == 1 else mixed(h))
+        return out
+
+    def linear(a, b, orders, vocabulary, weights, bias):
+        known = {h: i for i, h in enumerate(vocabulary.hashes.tolist())}
+        found = [g for n in orders for g in grams(a, b, n)]
+        total = sum((weights[known[g]].astype(float) for g in found if g in known), np.zeros(weights.shape[1]))
+        return total / np.sqrt(max(1, len(found))) + bias
+
+    def family(a, b):
+        z = linear(a, b, (1, 2, 3), model.words, model.weights, model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        best, own = int(p[1:].argmax()) + 1, set(grams(a, b, 2))
+        alike = {}
+        for k, template in model.templates:
+            if len(own) > 1:
+                alike[k] = max(alike.get(k, 0), len(own & set(template.tolist())) / min(len(own), len(template)))
+        return best, p[best], p[0], alike
+
+    def ends(i):
+        """Whether a line or sentence ends between the words i - 1 and i."""
+        return any(data[x] == 10 or data[x] in b".!?" and data[x + 1 : x + 2] in (b" ", b"\t", b"\r") for x in range(words[i - 1][1], words[i][1]))
+
+    units, size = [], 0
+    for i in range(len(words)):
+        fresh = i == 0 or ends(i)
+        size = 0 if fresh else size + 1
+        if fresh or size % config.unit_tokens == 0:
+            units.append(i)
+    units.append(len(words))
+    parts, held = [], 0
+    for a, b in zip(units, units[1:]):
+        if linear(a, b, (1, 2), model.gate_words, model.gate, model.gate_bias)[0] < np.log(config.gate / (1 - config.gate)):
+            continue
+        gap = data[words[a - 1][2] - 1 : words[a][1]] if a else b""
+        joined = bool(parts) and parts[-1][1] == a and not any(not line.strip(b" \t\r") for line in gap.split(b"\n")[1:-1])
+        best, p, other, alike = family(a, b)
+        sure = other < 0.5 and p >= model.threshold and alike.get(best, 0) >= config.overlap
+        held = held if joined else 0
+        if sure and held and best != held and alike[best] > alike.get(held, 0):
+            joined, held = False, 0
+        if sure:
+            held = held or best
+        if joined:
+            parts[-1][1] = b
+        else:
+            parts.append([a, b])
+    out = []
+    for a, b in parts:
+        best, p, other, alike = family(a, b)
+        if other < 0.5:
+            sure = bool(p >= model.threshold and alike.get(best, 0) >= config.overlap)
+            at, length = (len(data[x:y].decode("utf-8", "ignore")) for x, y in ((0, words[a][1]), (words[a][1], words[b - 1][2])))
+            out.append((len(out) + 1, at, length, model.names[best] if sure else "unknown", round(float(p), 3), round(float(alike.get(best, 0)), 4), sure))
+    return out

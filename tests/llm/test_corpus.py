@@ -467,6 +467,38 @@ def test_licences_held_out_and_known_notices(spark):
     assert one_by_one == [r for r in whole if r[0] < 300]
 
 
+def test_licences_word_by_word(spark):
+    model = license_scan.train_model()
+    texts = [r.text for r in table(spark, DATA, "documents").collect()] + [r[1] for r in ROWS if r[1] is None or len(r[1]) < 1000]
+    rng = np.random.default_rng(6)
+    notices = [t for ts in T.TEMPLATES.values() for t in ts]
+    for k in range(60):
+        parts = [str(rng.choice(notices)) if rng.random() < 0.6 else "Some prose of other words here." for _ in range(4)]
+        texts.append("".join(p + str(rng.choice(["\n", "\n\n", " ", "\n \t\n"])) for p in parts))
+    texts.append(" ".join(notices) * 2)
+    got = {}
+    for row, *rest in model.scan(pa.array(texts, pa.string())):
+        got.setdefault(row, []).append((*rest[:4], round(rest[4], 3), *rest[5:]))
+    assert len(got) > 60
+    for i, text in enumerate(texts):
+        want = brute.licenses(text, model)
+        have = got.get(i, [])
+        assert [(*r[:4], *r[5:]) for r in have] == [(*r[:4], *r[5:]) for r in want], text
+        assert all(abs(a[4] - b[4]) <= 0.002 for a, b in zip(have, want))
+
+
+@pytest.mark.parametrize("which", [0, -1])
+def test_templates_that_training_never_saw(monkeypatch, which):
+    """Most are told as licences; without a template that confirms them they are unknown, and what is confirmed is right."""
+    rich = {name: ts for name, ts in T.TEMPLATES.items() if len(ts) > 1}
+    rest = {name: tuple(t for t in ts if t is not ts[which]) if name in rich else ts for name, ts in T.TEMPLATES.items()}
+    monkeypatch.setattr(license_scan, "TEMPLATES", rest)
+    held = [(name, ts[which]) for name, ts in rich.items()]
+    told = license_scan.LicenseModel(license_scan.LicenseConfig()).scan(pa.array([t for _, t in held]))
+    assert len(held) >= 10 and len({r[0] for r in told}) >= 0.75 * len(held)
+    assert all(r[4] == (held[r[0]][0] if r[7] else "unknown") for r in told)
+
+
 def test_adjacent_notices_of_different_families():
     model = license_scan.train_model()
     mit, nc, apache = "Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "Licensed under the Apache License, Version 2.0."

@@ -1,8 +1,9 @@
 """Vectorised text kernels over Arrow string columns.
 
 Every corpus-wide Python pass of this subpackage runs inside ``mapInArrow`` and
-works on the raw UTF-8 bytes of a whole slice of documents at once with numpy;
-no per-row or per-token Python code is executed.
+works on the raw UTF-8 bytes of a whole slice of documents at once with numpy.
+Python runs for each match of the secret scan and each paragraph of the licence
+scan, and for nothing else by row or token.
 
 Tokens are maximal runs of letters and digits after lower-casing.  Bytes of
 non-ASCII characters count as letters, except the General Punctuation and CJK
