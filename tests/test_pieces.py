@@ -74,3 +74,7 @@ def test_segments_keep_nulls(spark):
     rows = spark.createDataFrame(list(enumerate(ODD)), "key long, text string").select("key", C.segments("text", model()).alias("s")).collect()
     kernel = Kernel(model())
     assert {r.key: r.s and [tuple(x) for x in r.s] for r in rows} == {k: None if t is None else kernel.segments(t) for k, t in enumerate(ODD)}
+
+
+def test_added_tokens_hold_a_piece(spark, monkeypatch):
+    flat(monkeypatch, lambda: C.segments("text", model()), "doc[CLS]1[SEP]end " + TEXT)
