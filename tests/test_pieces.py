@@ -13,6 +13,7 @@ from wordloom import catalog
 from wordloom.functions import columns as C
 from wordloom.functions.kernel import Kernel
 from wordloom.functions.vector import VectorKernel
+from wordloom.operators import words as W
 from wordloom.plans.fixture import model
 from wordloom.sources.vocabulary import AddedToken
 
@@ -78,3 +79,32 @@ def test_segments_keep_nulls(spark):
 
 def test_added_tokens_hold_a_piece(spark, monkeypatch):
     flat(monkeypatch, lambda: C.segments("text", model()), "doc[CLS]1[SEP]end " + TEXT)
+
+
+STATISTICS = [("a", "the cat école"), ("a", None), ("a", "[UNK] x"), ("b", " \t"), ("b", None), ("c", "​�"), (None, "漢字 the"), ("d", "a[CLS]b CAT x.y"), ("a", "the cat école")]
+
+
+def test_statistics_shuffle_sums_only(spark):
+    added = replace(model(), added=(*model().added, AddedToken("cat", True), AddedToken("x.y", False)))
+    texts = spark.createDataFrame(STATISTICS, "g string, text string")
+    for own in (model(), model("NFKC"), added):
+        kernel, want = Kernel(own), {}
+        for g, t in STATISTICS:
+            if t and kernel.segments(t):
+                ids = kernel.encode_all(t)[1:-1]
+                n, lost = want.get(g, (0, 0))
+                want[g] = n + len(ids), lost + ids.count(own.unk[1])
+        assert {r.g: (r.n_tokens, r.n_unknown) for r in W.token_statistics(texts, own, "g").collect()} == want
+    for name in ("tokens_by_source", "tokens_by_lang"):
+        assert "explode" not in plan(catalog.queries()[name](spark, DATA))
+
+
+def test_memoised_texts_are_not_shuffled(spark):
+    texts = spark.createDataFrame([(1, "the cat école"), (None, "a[CLS]b"), (1, None), (2, "")], "key long, text string")
+    assert "Exchange" not in plan(W.encode_memoised(texts, model()))
+    kernel = Kernel(model())
+    assert sorted(map(repr, (tuple(r) for r in W.encode_memoised(texts, model()).collect()))) == sorted(repr((r.key, kernel.encode_all(r.text))) for r in texts.collect() if r.text is not None)
+
+
+def test_memoised_repeated_keys_are_not_shuffled(spark):
+    assert "hashpartitioning" not in plan(catalog.queries()["memoised_repeated_keys"](spark, DATA))

@@ -1,8 +1,8 @@
-"""The native form: segments by regex in the JVM, every distinct word tokenized once, ids joined back.
+"""Words: counted by the built-in regex engine, and the memoised forms of whole texts and statistics.
 
-It suits whole texts and statistics, where the same words come up again and
-again; truncated encoding and chunking use the row-wise functions, which stop
-at their limit.
+Distinct words grow with a corpus, and joining ids back to every word shuffles
+several times the text.  So the memo is the pool of each worker, and words stay
+with their texts.
 """
 
 from __future__ import annotations
@@ -42,28 +42,19 @@ def word_counts(texts: DataFrame, *groups: str, model: TokenizerModel | None = N
     return texts.select(*groups, F.explode(segment_array("text", model)).alias("word")).groupBy(*groups, "word").agg(F.count("*").alias("n"))
 
 
-def tokenized_words(texts: DataFrame, model: TokenizerModel) -> DataFrame:
-    """word, ids: every distinct segment with its pieces."""
-    distinct = texts.select(F.explode(segment_array("text", model)).alias("word")).distinct()
-    return distinct.withColumn("ids", columns.word_pieces("word", model))
-
-
 def token_statistics(texts: DataFrame, model: TokenizerModel, group: str) -> DataFrame:
-    """group, n_tokens, n_unknown: pieces of all texts (without CLS and SEP) and unknown words among them."""
-    counted = word_counts(texts, group, model=model).withColumn("ids", columns.word_pieces("word", model))
-    unknown = F.size(F.filter("ids", lambda i: i == model.unk[1]))
-    return counted.groupBy(group).agg(F.sum(F.size("ids") * F.col("n")).alias("n_tokens"), F.sum(unknown * F.col("n")).alias("n_unknown"))
+    """group, n_tokens, n_unknown: pieces of all texts (without CLS and SEP) and unknown words among them.
+
+    Every task adds up its own texts, so only sums are shuffled; a group without words has no row.
+    """
+    counted = texts.select(group, columns.token_counts("text", model).alias("c"))
+    sums = counted.groupBy(group).agg(F.sum("c.tokens").alias("n_tokens"), F.sum("c.unknown").alias("n_unknown"), F.sum("c.words").alias("_words"))
+    return sums.where("_words > 0").drop("_words")
 
 
 def encode_memoised(texts: DataFrame, model: TokenizerModel) -> DataFrame:
-    """key, input_ids of whole texts: equal to the row-wise form, each distinct word tokenized once.
+    """key, input_ids of whole texts; a worker tokenizes each distinct word once while its pool holds it.
 
-    Keys may be null or repeated: words find their way back by the row.  A null text has no row.
+    No word leaves its text, so nothing is shuffled and keys may be null or repeated.  A null text has no row.
     """
-    rows = texts.where("text IS NOT NULL").select(F.monotonically_increasing_id().alias("row"), "key", "text")
-    words = rows.select("row", "key", F.posexplode_outer(segment_array("text", model)).alias("pos", "word"))
-    known = tokenized_words(texts, model)
-    pieces = words.join(known, "word", "left").groupBy("row").agg(F.first("key").alias("key"), F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("found"))
-    inner = F.flatten(F.transform("found", lambda f: F.coalesce(f["ids"], F.array().cast("array<bigint>"))))
-    edge = lambda t: F.array(F.lit(t[1]).cast("bigint"))
-    return pieces.select("key", F.concat(edge(model.cls), inner, edge(model.sep)).alias("input_ids"))
+    return texts.where("text IS NOT NULL").select("key", columns.token_ids("text", model, None).alias("input_ids"))
