@@ -108,3 +108,8 @@ def test_memoised_texts_are_not_shuffled(spark):
 
 def test_memoised_repeated_keys_are_not_shuffled(spark):
     assert "hashpartitioning" not in plan(catalog.queries()["memoised_repeated_keys"](spark, DATA))
+
+
+def test_chunks_with_stride_hold_a_piece(spark, monkeypatch):
+    """As stream_chunks has them."""
+    flat(monkeypatch, lambda: C.chunks("text", model(), 128, 25))
