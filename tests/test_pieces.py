@@ -113,3 +113,7 @@ def test_memoised_repeated_keys_are_not_shuffled(spark):
 def test_chunks_with_stride_hold_a_piece(spark, monkeypatch):
     """As stream_chunks has them."""
     flat(monkeypatch, lambda: C.chunks("text", model(), 128, 25))
+
+
+def test_compatibility_forms_hold_a_piece(spark, monkeypatch):
+    flat(monkeypatch, lambda: C.chunks("text", model("NFKC"), 128))
