@@ -122,3 +122,7 @@ def test_compatibility_forms_hold_a_piece(spark, monkeypatch):
 def test_chunks_hold_a_piece(spark, monkeypatch):
     """As batches and batches_repeated_keys have them, too."""
     flat(monkeypatch, lambda: C.chunks("text", model(), 128))
+
+
+def test_passages_hold_a_piece(spark, monkeypatch):
+    flat(monkeypatch, lambda: C.passages("text", model(), 128))
