@@ -126,3 +126,8 @@ def test_chunks_hold_a_piece(spark, monkeypatch):
 
 def test_passages_hold_a_piece(spark, monkeypatch):
     flat(monkeypatch, lambda: C.passages("text", model(), 128))
+
+
+def test_composed_forms_hold_a_piece(spark, monkeypatch):
+    flat(monkeypatch, lambda: C.chunks("text", model("NFC"), 128))
+    flat(monkeypatch, lambda: C.normalize_unicode("text", "NFD"))
