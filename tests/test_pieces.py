@@ -131,3 +131,8 @@ def test_passages_hold_a_piece(spark, monkeypatch):
 def test_composed_forms_hold_a_piece(spark, monkeypatch):
     flat(monkeypatch, lambda: C.chunks("text", model("NFC"), 128))
     flat(monkeypatch, lambda: C.normalize_unicode("text", "NFD"))
+
+
+def test_long_and_short_chunks_hold_a_piece(spark, monkeypatch):
+    flat(monkeypatch, lambda: C.chunks("text", model(), 333, 77))
+    flat(monkeypatch, lambda: C.chunks("text", model(), 27))
