@@ -136,3 +136,17 @@ def test_composed_forms_hold_a_piece(spark, monkeypatch):
 def test_long_and_short_chunks_hold_a_piece(spark, monkeypatch):
     flat(monkeypatch, lambda: C.chunks("text", model(), 333, 77))
     flat(monkeypatch, lambda: C.chunks("text", model(), 27))
+
+
+def test_arrow_memory_goes_back_with_each_piece(spark, monkeypatch):
+    """As added_tokens has them: what Arrow's pool kept was more than half of what a worker held."""
+    run, calls = worker(monkeypatch, lambda: C.segments("text", model())), []
+
+    class Memory:
+        def release_unused(self):
+            calls.append(1)
+
+    values = pa.array(["doc[CLS]1[SEP]end " + TEXT] * 600)
+    monkeypatch.setattr(C.pa, "default_memory_pool", Memory)
+    assert run(values) == 600
+    assert len(calls) >= values.nbytes // C.BLOCK
