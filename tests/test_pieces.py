@@ -150,3 +150,29 @@ def test_arrow_memory_goes_back_with_each_piece(spark, monkeypatch):
     monkeypatch.setattr(C.pa, "default_memory_pool", Memory)
     assert run(values) == 600
     assert len(calls) >= values.nbytes // C.BLOCK
+
+
+def test_words_at_limits_stay_out_of_the_memo():
+    kernel = Kernel(model())
+    texts = [" ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + i)}" for i in range(26)) for k in range(300)]
+    for size, stride in ((27, 0), (128, 0), (333, 77), (16, 5)):
+        got = [rows for _, rows in VectorKernel(kernel).chunks(pa.array(texts), size, stride)]
+        assert len(kernel.memo) == 0
+        want = [Kernel(model()).chunks(t, size, stride) for t in texts[:20]]
+        assert [[(x, y, ids.tolist(), lost) for x, y, ids, lost in rows] for rows in got[:20]] == want
+
+
+def test_a_pool_holds_few_bytes_a_word():
+    kernel = Kernel(model())
+    words, vector = [f"{chr(97 + i % 26)}{i:06d}x" for i in range(100_000)], VectorKernel(kernel)
+    pieces = [" ".join(words[i : i + 20_000]) for i in range(0, len(words), 20_000)]
+    tracemalloc.start()
+    first = [vector.encode(pa.array([p]), None).to_pylist() for p in pieces]
+    rows = vector.pool.rows
+    size = tracemalloc.get_traced_memory()[0]
+    again = [vector.encode(pa.array([p]), None).to_pylist() for p in pieces]
+    tracemalloc.stop()
+    assert first == again and vector.pool.rows == rows == len(words) + 2
+    assert vector.pool.hashes.tolist() == sorted(set(vector.pool.hashes.tolist()))
+    held = sum(x.nbytes for x in (vector.pool.held, vector.pool.begin, vector.pool.size, vector.pool.attempt, vector.pool.hashes, vector.pool.by_hash))
+    assert held < 200 * len(words) and size < 1 << 27
