@@ -176,3 +176,17 @@ def test_a_pool_holds_few_bytes_a_word():
     assert vector.pool.hashes.tolist() == sorted(set(vector.pool.hashes.tolist()))
     held = sum(x.nbytes for x in (vector.pool.held, vector.pool.begin, vector.pool.size, vector.pool.attempt, vector.pool.hashes, vector.pool.by_hash))
     assert held < 200 * len(words) and size < 1 << 27
+
+
+class _Rows:
+    """A DataFrame as far as a worker's function is asked for."""
+
+    def where(self, _):
+        return self
+
+    def select(self, *_):
+        return self
+
+
+def test_memoised_ids_hold_a_piece(spark, monkeypatch):
+    flat(monkeypatch, lambda: W.encode_memoised(_Rows(), model()))

@@ -57,4 +57,4 @@ def encode_memoised(texts: DataFrame, model: TokenizerModel) -> DataFrame:
 
     No word leaves its text, so nothing is shuffled and keys may be null or repeated.  A null text has no row.
     """
-    return texts.where("text IS NOT NULL").select("key", columns.token_ids("text", model, None).alias("input_ids"))
+    return texts.where("text IS NOT NULL").select("key", columns.all_token_ids("text", model).alias("input_ids"))
