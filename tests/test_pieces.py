@@ -2,6 +2,7 @@
 
 import inspect
 import tracemalloc
+import unicodedata
 from dataclasses import replace
 
 import pyarrow as pa
@@ -190,3 +191,14 @@ class _Rows:
 
 def test_memoised_ids_hold_a_piece(spark, monkeypatch):
     flat(monkeypatch, lambda: W.encode_memoised(_Rows(), model()))
+
+
+def test_normalised_texts_are_given_back_by_pieces(spark, monkeypatch):
+    """A whole batch of them was put together before."""
+    texts, found = pa.array([TEXT, None, ""] * 400), []
+    with monkeypatch.context() as m:
+        m.setattr(C.F, "arrow_udf", lambda run, kind: found.append(run) or (lambda column: column))
+        C.normalize_unicode("text", "NFD")
+    made = list(found[0](iter([texts, texts.slice(0, 0), texts])))
+    assert len(made) > 2 and max(x.nbytes for x in made) < 2 * C.BLOCK
+    assert [x for y in made for x in y.to_pylist()] == 2 * [t and unicodedata.normalize("NFD", t) for t in texts.to_pylist()]
