@@ -202,3 +202,27 @@ def test_normalised_texts_are_given_back_by_pieces(spark, monkeypatch):
     made = list(found[0](iter([texts, texts.slice(0, 0), texts])))
     assert len(made) > 2 and max(x.nbytes for x in made) < 2 * C.BLOCK
     assert [x for y in made for x in y.to_pylist()] == 2 * [t and unicodedata.normalize("NFD", t) for t in texts.to_pylist()]
+
+
+def long_words(make, chunked):
+    """What a worker holds of words of more than a thousand characters follows neither their number nor their length."""
+    kernel = Kernel(model())
+    vector, texts = VectorKernel(kernel), [" ".join(f"{chr(97 + k)}{chr(97 + i)}" + "caterpillars" * 120 for i in range(26)) for k in range(24)]
+    for text in texts:
+        assert chunked(make(vector, pa.array([text]))) == chunked(make(Kernel(model()), text))
+        assert sum(len(word) + len(ids) + sum(map(len, attempts)) for word, (ids, attempts) in kernel.memo.items()) <= 1 << 20
+    most = 0
+    for _ in range(120):
+        list(make(vector, pa.array(texts[:4])))
+        most = max(most, vector.pool.used)
+    assert most < (1 << 21) + C.BLOCK
+
+
+def rows_of(found):
+    found = next(found)[1] if inspect.isgenerator(found) else found
+    return [(x, y, [int(i) for i in ids], lost) for x, y, ids, lost in found]
+
+
+def test_long_words_leave_the_memo_and_the_pool():
+    """As batches has them; both were bounded by the number of words only."""
+    long_words(lambda kernel, texts: kernel.chunks(texts, 128, 0), rows_of)
