@@ -4,6 +4,7 @@ import inspect
 import tracemalloc
 import unicodedata
 from dataclasses import replace
+from types import SimpleNamespace
 
 import pyarrow as pa
 import pytest
@@ -204,16 +205,23 @@ def test_normalised_texts_are_given_back_by_pieces(spark, monkeypatch):
     assert [x for y in made for x in y.to_pylist()] == 2 * [t and unicodedata.normalize("NFD", t) for t in texts.to_pylist()]
 
 
+LONG = [" ".join(f"{chr(97 + k)}{chr(97 + i)}" + "caterpillars" * 120 for i in range(26)) for k in range(24)]
+
+
+def memory(memo):
+    return sum(len(word) + len(ids) + sum(map(len, attempts)) for word, (ids, attempts) in memo.items())
+
+
 def long_words(make, chunked):
     """What a worker holds of words of more than a thousand characters follows neither their number nor their length."""
     kernel = Kernel(model())
-    vector, texts = VectorKernel(kernel), [" ".join(f"{chr(97 + k)}{chr(97 + i)}" + "caterpillars" * 120 for i in range(26)) for k in range(24)]
-    for text in texts:
+    vector = VectorKernel(kernel)
+    for text in LONG:
         assert chunked(make(vector, pa.array([text]))) == chunked(make(Kernel(model()), text))
-        assert sum(len(word) + len(ids) + sum(map(len, attempts)) for word, (ids, attempts) in kernel.memo.items()) <= 1 << 20
+        assert memory(kernel.memo) <= 1 << 20
     most = 0
     for _ in range(120):
-        list(make(vector, pa.array(texts[:4])))
+        list(make(vector, pa.array(LONG[:4])))
         most = max(most, vector.pool.used)
     assert most < (1 << 21) + C.BLOCK
 
@@ -226,3 +234,12 @@ def rows_of(found):
 def test_long_words_leave_the_memo_and_the_pool():
     """As batches has them; both were bounded by the number of words only."""
     long_words(lambda kernel, texts: kernel.chunks(texts, 128, 0), rows_of)
+
+
+def test_passages_of_long_words_leave_the_memo(spark, monkeypatch):
+    vector = VectorKernel(Kernel(model()))
+    monkeypatch.setattr(C, "Shared", lambda *_: SimpleNamespace(vector=vector))
+    run = worker(monkeypatch, lambda: C.passages("text", model(), 128))
+    for text in LONG:
+        assert run(pa.array([text])) == 1
+        assert memory(vector.kernel.memo) <= 1 << 20
