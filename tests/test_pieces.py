@@ -243,3 +243,7 @@ def test_passages_of_long_words_leave_the_memo(spark, monkeypatch):
     for text in LONG:
         assert run(pa.array([text])) == 1
         assert memory(vector.kernel.memo) <= 1 << 20
+
+
+def test_chunks_with_stride_of_long_words_leave_the_memo():
+    long_words(lambda kernel, texts: kernel.chunks(texts, 333, 77), rows_of)
