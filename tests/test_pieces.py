@@ -247,3 +247,7 @@ def test_passages_of_long_words_leave_the_memo(spark, monkeypatch):
 
 def test_chunks_with_stride_of_long_words_leave_the_memo():
     long_words(lambda kernel, texts: kernel.chunks(texts, 333, 77), rows_of)
+
+
+def test_short_chunks_of_long_words_leave_the_memo():
+    long_words(lambda kernel, texts: kernel.chunks(texts, 27, 0), rows_of)
