@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tests.conftest import DATA
 from wordloom import catalog
 from wordloom.functions import columns as C
+from wordloom.functions import vector as vector_module
 from wordloom.functions.kernel import Kernel
 from wordloom.functions.vector import VectorKernel
 from wordloom.operators import words as W
@@ -251,3 +252,48 @@ def test_chunks_with_stride_of_long_words_leave_the_memo():
 
 def test_short_chunks_of_long_words_leave_the_memo():
     long_words(lambda kernel, texts: kernel.chunks(texts, 27, 0), rows_of)
+
+
+def small(spark, monkeypatch, make):
+    """What a worker holds of one batch of new words: its pool, tables and one piece; and Spark sends small batches."""
+    spark.conf.unset(BATCH)
+    make()
+    assert int(spark.conf.get(BATCH)) <= 1 << 22
+    run = worker(monkeypatch, make)
+    texts = [" ".join(f"{chr(97 + i % 26)}{k}x{i}é" for i in range(1000)) for k in range(160)]
+    tracemalloc.start()
+    assert run(pa.array(texts)) == len(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 56 << 20, peak
+
+
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def test_workers_for_passages_are_small(spark, monkeypatch):
+    small(spark, monkeypatch, lambda: C.passages("text", model(), 128))
+
+
+def test_a_limit_for_batches_stays(spark):
+    spark.conf.set(BATCH, "9000000")
+    C.passages("text", model(), 128)
+    assert spark.conf.get(BATCH) == "9000000"
+    spark.conf.unset(BATCH)
+
+
+def test_a_full_pool_keeps_what_it_found_again(monkeypatch):
+    monkeypatch.setattr(vector_module, "_ROWS", 1000)
+    vector = VectorKernel(Kernel(model()))
+    made, make = [], vector.pool._make
+    monkeypatch.setattr(vector.pool, "_make", lambda segments, which: made.append([segments.text(i) for i in which.tolist()]) or make(segments, which))
+    for k in range(40):
+        text = "the école caterpillar " + " ".join(f"w{k}x{i}" for i in range(100))
+        assert vector.encode(pa.array([text]), None).to_pylist() == [Kernel(model()).encode_all(text)]
+    assert vector.pool.rows < 1200
+    assert sum(x.count("école") for x in made) == 1
+    # where all words come again, the pool begins anew
+    for k in range(40):
+        text = " ".join(f"y{k // 4 * 100 + i}" for i in range(400))
+        assert vector.encode(pa.array([text]), None).to_pylist() == [Kernel(model()).encode_all(text)]
+        assert vector.pool.rows < 1500
