@@ -275,6 +275,11 @@ def test_workers_for_passages_are_small(spark, monkeypatch):
     small(spark, monkeypatch, lambda: C.passages("text", model(), 128))
 
 
+def test_workers_for_chunks_are_small(spark, monkeypatch):
+    """As batches and batches_repeated_keys have them, too."""
+    small(spark, monkeypatch, lambda: C.chunks("text", model(), 128))
+
+
 def test_a_limit_for_batches_stays(spark):
     spark.conf.set(BATCH, "9000000")
     C.passages("text", model(), 128)
